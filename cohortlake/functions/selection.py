@@ -68,7 +68,7 @@ def counted_median(df: DataFrame, value: str, by=(), name: str = "median") -> Da
     before the shuffle, so a group's size does not matter, only its number of distinct values."""
     counts = (df.where(F.col(value).isNotNull())
               .groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
-    return counts.groupBy(*by).agg(F.percentile("_v", 0.5, "_c").alias(name))
+    return counts.groupBy(*by).agg(F.percentile("_v", 0.5, F.col("_c")).alias(name))
 
 
 def median_and_mad(df: DataFrame, value: str, by=(), wide: bool = False) -> DataFrame:

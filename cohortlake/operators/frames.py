@@ -55,13 +55,14 @@ def latest_semester(snapshot: DataFrame) -> Column:
     return snapshot.agg(F.max("SemesterKey")).scalar()
 
 
-def with_retention(snapshot: DataFrame) -> DataFrame:
+def with_retention(snapshot: DataFrame, latest=None) -> DataFrame:
     """M4: 1 if the student also has the next semester, 0 if not, null where that cannot be known yet.
 
     One window over a student's few semesters instead of a self-join.
     """
     following = F.lead("SemesterKey").over(Window.partitionBy("StudentKey").orderBy("SemesterKey"))
-    known = (F.col("StudySemester") < S.LAST_STUDY_SEMESTER) & (F.col("SemesterKey") < latest_semester(snapshot))
+    latest = latest_semester(snapshot) if latest is None else latest
+    known = (F.col("StudySemester") < S.LAST_STUDY_SEMESTER) & (F.col("SemesterKey") < latest)
     stayed = F.coalesce(following == F.col("SemesterKey") + 1, F.lit(False))
     return snapshot.withColumn("Retained", F.when(known, stayed.cast("int")))
 
@@ -99,7 +100,7 @@ def exam_dist(grades: DataFrame, students: DataFrame) -> DataFrame:
 
 
 def payments_by_faculty(payments: DataFrame, students: DataFrame) -> DataFrame:
-    """Invoices and amounts by semester and faculty."""
+    """Invoices and amounts by semester and faculty. Amounts stay decimal, so later sums are exact."""
     per_student = payments.groupBy("SemesterKey", "StudentKey").agg(
         F.count(F.lit(1)).alias("Invoices"), count_where(F.col("RemainingDebt") > 0).alias("WithDebt"),
         F.sum("TuitionAmount").alias("Tuition"), F.sum("PaidAmount").alias("Paid"),
@@ -107,7 +108,7 @@ def payments_by_faculty(payments: DataFrame, students: DataFrame) -> DataFrame:
     return (per_student.join(students.select("StudentKey", "FacultyKey"), "StudentKey")
             .groupBy("SemesterKey", "FacultyKey")
             .agg(F.sum("Invoices").alias("Invoices"), F.sum("WithDebt").alias("WithDebt"),
-                 *[F.sum(c).cast("double").alias(c) for c in ("Tuition", "Paid", "Debt")]))
+                 *[F.sum(c).alias(c) for c in ("Tuition", "Paid", "Debt")]))
 
 
 def payments_by_month(payments: DataFrame, date_dim: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohortlake import settings as S
 from cohortlake.functions.measures import grade_of
-from cohortlake.operators import frames, snapshot
+from cohortlake.operators import frames, performance, risk as R, snapshot
+from cohortlake.plans.fixed_scorer import THRESHOLD, linear_scorer
 
 YEAR0 = 1995
 LIMITS = S.Thresholds(min_enrollment=30, min_group=20, teacher_overload=60)
@@ -188,12 +189,12 @@ class University:
 
     @cached_property
     def snap_retained(self) -> DataFrame:
-        return frames.with_retention(self.snap)
+        return frames.with_retention(self.snap, self.latest)
 
     @cached_property
-    def latest(self) -> Column:
-        """The newest semester. Read from the orders, which hold every semester that has grades."""
-        return self.table("orders").agg(F.max(season_of(F.col("o_orderdate")))).scalar()
+    def latest(self) -> int:
+        """The newest semester, fetched once: as a literal it prunes scans and keeps plans small."""
+        return self.table("orders").agg(F.max(season_of(F.col("o_orderdate")))).first()[0]
 
     @cached_property
     def course_sem(self) -> DataFrame:
@@ -210,3 +211,41 @@ class University:
     @cached_property
     def payments_faculty(self) -> DataFrame:
         return frames.payments_by_faculty(self.payments, self.students)
+
+    @cached_property
+    def trend(self) -> DataFrame:
+        return performance.semester_trend(self.snap_retained, self.payments_faculty, self.semesters)
+
+    @cached_property
+    def faculty_trend(self) -> DataFrame:
+        return performance.faculty_trend(
+            self.snap_retained, self.payments_faculty, self.semesters, self.faculties)
+
+    @cached_property
+    def course_history(self) -> DataFrame:
+        return performance.course_summary(self.course_sem, self.courses_full, self.faculties)
+
+    @cached_property
+    def course_pooled(self) -> DataFrame:
+        return performance.course_summary(self.course_sem, self.courses_full, self.faculties, pooled=True)
+
+    def course_summary(self, semester) -> DataFrame:
+        return performance.course_summary(self.course_sem, self.courses_full, self.faculties, semester)
+
+    def teacher_summary(self, semester) -> DataFrame:
+        return performance.teacher_summary(self.course_sem, self.teachers_full, self.faculties, semester, LIMITS)
+
+    @cached_property
+    def dataset(self) -> DataFrame:
+        return R.build_dataset(R.add_features(R.risk_snapshot(self.snap, self.students)), self.latest)
+
+    @cached_property
+    def baseline(self) -> dict[str, float]:
+        """Fourteen numbers, part of a trained model's parameters."""
+        return R.baseline_profile(R.labelled(self.dataset)).first().asDict()
+
+    @cached_property
+    def risk(self) -> DataFrame:
+        """Scored students. The scoring time is fixed so that results are repeatable."""
+        return R.score_students(R.to_score(self.dataset), linear_scorer, self.baseline, THRESHOLD, "linear",
+                                F.lit("2002-01-01 00:00:00").cast("timestamp"))

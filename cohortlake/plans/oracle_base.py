@@ -101,12 +101,88 @@ SELECT SemesterKey, CourseKey, TeacherKey, {sums}, sum(GradePoints)::DOUBLE AS P
   sum(FinalScore)::DOUBLE AS Final, sum(AttendanceScore)::DOUBLE AS Attendance FROM grades GROUP BY ALL""",
     "pay_fac": """
 SELECT p.SemesterKey, FacultyKey, count(*) AS Invoices, sum(CASE WHEN RemainingDebt > 0 THEN 1 ELSE 0 END) AS WithDebt,
-  sum(TuitionAmount)::DOUBLE AS Tuition, sum(PaidAmount)::DOUBLE AS Paid, sum(RemainingDebt)::DOUBLE AS Debt
+  sum(TuitionAmount) AS Tuition, sum(PaidAmount) AS Paid, sum(RemainingDebt) AS Debt
 FROM payments p JOIN students s ON s.StudentKey = p.StudentKey GROUP BY ALL""",
     "interventions": """
 SELECT event_id AS InterventionID, user_id AS StudentKey, event_type AS Status, date_trunc('second', ts) AS CreatedAt FROM events""",
 }
 
+MONEY = "Tuition::DOUBLE AS Tuition, Paid::DOUBLE AS Paid, Debt::DOUBLE AS Debt, Paid::DOUBLE / Tuition::DOUBLE AS CollectionRate"
+AGG = """count(*) AS Students, sum(SemGPA * Credits)::DOUBLE / sum(Credits) AS AvgGPA,
+  sum(AttendanceRate)::DOUBLE / nullif(count(AttendanceRate), 0) AS AttendanceRate, sum(FailedCourses)::DOUBLE / sum(CourseLoad) AS FailureRate,
+  sum(SubmissionRate)::DOUBLE / nullif(count(SubmissionRate), 0) AS SubmissionRate, sum(IsAtRisk)::DOUBLE / count(*) AS AtRiskShare,
+  sum(Retained)::DOUBLE / nullif(count(Retained), 0) AS Retention"""
+FEATURES = ("SemGPA PrevGPA CumGPA GPATrend AttendanceRate FailedCourses CumFailedCourses AvgAssignmentScore SubmissionRate "
+            "WarningsCum DebtRatio StudySemester Credits AvgTeacherLoad").split()
+GROUPS = {"F_GPA": FEATURES[:4], "F_Attendance": ["AttendanceRate"], "F_Failed": ["FailedCourses", "CumFailedCourses"],
+          "F_Assignments": ["AvgAssignmentScore", "SubmissionRate"], "F_Debt": ["DebtRatio"],
+          "F_History": ["WarningsCum", "StudySemester", "Credits"], "F_TeacherLoad": ["AvgTeacherLoad"]}
+WEIGHTS = [("SemGPA", "-0.1"), ("CumGPA", "-0.05"), ("PrevGPA", "-0.02"), ("GPATrend", "-0.03"), ("AttendanceRate", "-0.3"),
+           ("FailedCourses", "0.06"), ("CumFailedCourses", "0.005"), ("AvgAssignmentScore", "-0.002"), ("SubmissionRate", "-0.05"),
+           ("WarningsCum", "0.01"), ("DebtRatio", "0.08"), ("StudySemester", "0.004"), ("Credits", "-0.001"), ("AvgTeacherLoad", "0.0004")]
+
+
+def risk_sql(value=lambda f: f) -> str:
+    """The linear risk score over the given feature expressions."""
+    out = "1.1::DOUBLE"
+    for name, weight in WEIGHTS:
+        out = f"({out} + {value(name)} * ({weight})::DOUBLE)"
+    return f"least(greatest({out}, 0.0::DOUBLE), 1.0::DOUBLE)"
+
+
+def level_sql(p: str) -> str:
+    return f"CASE WHEN {p} < 0.25 THEN 'Past' WHEN {p} < 0.5 THEN 'O''rta' WHEN {p} < 0.75 THEN 'Yuqori' ELSE 'Kritik' END"
+
+
+def _dbl(names):
+    return ", ".join(f"{c}::DOUBLE AS {c}" for c in names)
+
+
+CTE |= {"trend": ("snap", "pay_fac", "semesters"), "ftrend": ("snap", "pay_fac", "semesters", "faculties"),
+        "chist": ("course_sem", "courses", "faculties"), "cpool": ("course_sem", "courses", "faculties"),
+        "tsum": ("course_sem", "teachers", "faculties", "lines"), "feat": ("snap", "students"), "dataset": ("feat",),
+        "base": ("dataset",), "risk": ("dataset", "base")}
+_OTHERS = ["CourseLoad", "SemGPA", "CumGPA", "AttendanceRate", "FailedCourses", "CumFailedCourses", "AvgAssignmentScore",
+           "SubmissionRate", "WarningsCum", "DebtRatio", "StudySemester", "Credits", "AvgTeacherLoad", "IsAtRisk", "IsLastSemester"]
+_SHARES = ", ".join(
+    "greatest(b - {}, 0.0::DOUBLE) AS c_{}".format(
+        risk_sql(lambda f, cols=cols: f"m_{f}" if f in cols else f), g) for g, cols in GROUPS.items())
+_TOTAL = "(" * 6 + "c_F_GPA" + "".join(f" + c_{g})" for g in list(GROUPS)[1:])
+_LABELS = {"F_GPA": "GPA", "F_Attendance": "Davomat", "F_Failed": "Yiqilgan fanlar", "F_Assignments": "Topshiriqlar",
+           "F_Debt": "Moliyaviy qarz", "F_History": "Akademik tarix", "F_TeacherLoad": "O''qituvchi yuklamasi"}
+_FACTOR_LIST = "[" + ", ".join(f"{{'s': -{g}, 'i': {i}, 'n': '{n}'}}" for i, (g, n) in enumerate(_LABELS.items())) + "]"
+SQL |= {
+    "trend": f"""SELECT a.*, {MONEY}, SemesterLabel
+FROM (SELECT SemesterKey, {AGG} FROM snap GROUP BY 1) a
+LEFT JOIN (SELECT SemesterKey, sum(Tuition) AS Tuition, sum(Paid) AS Paid, sum(Debt) AS Debt FROM pay_fac GROUP BY 1) p
+  ON p.SemesterKey = a.SemesterKey JOIN semesters s ON s.SemesterKey = a.SemesterKey""",
+    "ftrend": f"""SELECT a.*, {MONEY}, SemesterLabel, FacultyName
+FROM (SELECT SemesterKey, FacultyKey, {AGG} FROM snap GROUP BY 1, 2) a
+LEFT JOIN pay_fac p ON p.SemesterKey = a.SemesterKey AND p.FacultyKey = a.FacultyKey
+JOIN semesters s ON s.SemesterKey = a.SemesterKey JOIN faculties f ON f.FacultyKey = a.FacultyKey""",
+    "feat": f"""SELECT *, SemGPA - PrevGPA AS GPATrend FROM (SELECT s.StudentKey, s.SemesterKey, s.FacultyKey, s.DepartmentKey, Status,
+  {', '.join(f's.{c}::DOUBLE AS {c}' for c in _OTHERS)}, coalesce(s.PrevGPA::DOUBLE, s.SemGPA::DOUBLE) AS PrevGPA
+FROM snap s JOIN students t ON t.StudentKey = s.StudentKey)""",
+    "dataset": """SELECT *, NextFailed / NextLoad AS NextFailRate,
+  CASE WHEN NextAtRisk IS NULL AND IsLastSemester = 1 AND Status = 'Chetlashtirilgan' THEN 1 ELSE 0 END AS Dropout,
+  CASE WHEN NextAtRisk IS NULL AND IsLastSemester = 1 AND Status = 'Chetlashtirilgan' THEN 1 ELSE NextAtRisk END::INT AS Target,
+  (NextAtRisk IS NOT NULL OR (IsLastSemester = 1 AND Status = 'Chetlashtirilgan')) AND SemesterKey < (SELECT max(SemesterKey) FROM feat) AS IsLabelled,
+  SemesterKey = (SELECT max(SemesterKey) FROM feat) AND Status = 'Faol' AS ToScore
+FROM (SELECT a.*, b.IsAtRisk AS NextAtRisk, b.SemGPA AS NextGPA, b.FailedCourses AS NextFailed, b.CourseLoad AS NextLoad
+  FROM feat a LEFT JOIN feat b ON b.StudentKey = a.StudentKey AND b.SemesterKey = a.SemesterKey + 1)""",
+    "base": "SELECT " + ", ".join(f"median({f}) AS m_{f}" for f in FEATURES) + " FROM dataset WHERE IsLabelled AND Target = 0",
+    "risk": f"""SELECT StudentKey, SemesterKey, FacultyKey, DepartmentKey, RiskProbability, PredictedNextGPA, PredictedFailRate, DropoutProbability,
+  {level_sql('RiskProbability')} AS RiskLevel, CASE WHEN RiskProbability >= 0.45 THEN 1 ELSE 0 END AS IsFlagged, {', '.join(GROUPS)},
+  coalesce(nullif(array_to_string(list_transform(list_slice(list_sort(list_filter({_FACTOR_LIST}, lambda x: x.s <= -1)), 1, 4),
+    lambda x: x.n || ' ' || round_even(-x.s, 0)::INT || '%'), ' · '), ''), 'Sezilarli omil yo''q') AS MainFactors,
+  'linear' AS ModelName, TIMESTAMP '2002-01-01 00:00:00' AS ScoredAt
+FROM (SELECT StudentKey, SemesterKey, FacultyKey, DepartmentKey, round_even(least(greatest(b, 0.01), 0.99), 4) AS RiskProbability,
+  round_even(least(greatest(SemGPA * 0.6::DOUBLE + CumGPA * 0.4::DOUBLE, 2), 5), 4) AS PredictedNextGPA,
+  round_even(least(greatest(FailedCourses * 0.15::DOUBLE, 0), 1), 4) AS PredictedFailRate, round_even(b * 0.1::DOUBLE, 4) AS DropoutProbability,
+  {', '.join(f"coalesce(round_even(c_{g} / nullif({_TOTAL}, 0) * 100, 1), 0) AS {g}" for g in GROUPS)}
+  FROM (SELECT *, {_SHARES} FROM (SELECT *, {risk_sql()} AS b FROM dataset, base WHERE ToScore)))""",
+}
+
 EXAM_SUMS = """count(*) AS N, sum(IsFailed) AS Failed, sum(CurrentScore)::DOUBLE AS CurrentSum, sum(MidtermScore)::DOUBLE AS MidtermSum,
   sum(CASE WHEN IsAdmitted = 1 THEN FinalScore ELSE 0 END)::DOUBLE AS FinalSum, sum(IsAdmitted) AS Admitted,
   sum(CASE WHEN MidtermScore < 18 THEN 1 ELSE 0 END) AS MidLow,
@@ -126,7 +202,34 @@ RATE_COLS = ("Current Midterm FinalAdmitted NotAdmitted CurrentPct MidtermPct Fi
              "NotAdmittedRate FailureRate LostAfterMidterm ExcellentRate").split()
 
 
-def query(body: str, *needs: str, extra: dict[str, str] | None = None) -> str:
+DIFFICULTY = ("CASE WHEN Failed::DOUBLE / N <= 0.1 THEN 'Yengil' WHEN Failed::DOUBLE / N <= 0.2 THEN 'O''rtacha' "
+              "WHEN Failed::DOUBLE / N <= 0.3 THEN 'Qiyin' ELSE 'Juda qiyin' END")
+
+
+def _course(keys, teachers):
+    other = [c for c in EXAM_COLS if c != "N"]
+    return f"""SELECT {', '.join('x.' + k for k in keys)}, N AS Enrollment, {', '.join(other)}, {RATES}, Points / N AS AvgGPA, Total / N AS AvgScore,
+  Final / N AS Final, Attendance / N AS Attendance, Teachers, CourseName, CurriculumSemester, DepartmentName, c.FacultyKey, FacultyName,
+  {DIFFICULTY} AS Difficulty
+FROM (SELECT {', '.join(keys)}, {RESUM}, sum(Points) AS Points, sum(Total) AS Total, sum(Final) AS Final, sum(Attendance) AS Attendance,
+  {teachers} AS Teachers FROM course_sem GROUP BY {', '.join(keys)}) x
+JOIN courses c ON c.CourseKey = x.CourseKey JOIN faculties f ON f.FacultyKey = c.FacultyKey"""
+
+
+SQL |= {
+    "chist": _course(["CourseKey", "SemesterKey"], "count(*)"),
+    "cpool": _course(["CourseKey"], "count(DISTINCT TeacherKey)"),
+    "tsum": """SELECT x.*, x.Students > 60 AS Overloaded, TeacherName, DepartmentKey, DepartmentName, t.FacultyKey, FacultyName FROM (
+  SELECT TeacherKey, sum(N) AS Students, count(DISTINCT CourseKey) AS Courses, sum(Points) / sum(N) AS AvgGPA,
+    sum(Attendance) / sum(N) / 100 AS AttendanceRate, sum(Failed)::DOUBLE / sum(N) AS FailureRate
+  FROM course_sem WHERE SemesterKey = {now} GROUP BY 1) x
+JOIN teachers t ON t.TeacherKey = x.TeacherKey JOIN faculties f ON f.FacultyKey = t.FacultyKey""",
+}
+LATEST = "(SELECT max(SemesterKey) FROM lines)"
+
+
+def query(body: str, *needs: str, extra: dict[str, str] | None = None,
+          now: str = LATEST) -> str:
     """The body after the common table expressions it needs, each after those it builds on."""
     order: list[str] = []
 
@@ -138,6 +241,6 @@ def query(body: str, *needs: str, extra: dict[str, str] | None = None) -> str:
 
     for name in needs:
         add(name)
-    parts = [f"{n} AS ({SQL[n].format(sums=EXAM_SUMS) if '{sums}' in SQL[n] else SQL[n]})" for n in order]
+    parts = [f"{n} AS ({SQL[n].replace('{sums}', EXAM_SUMS).replace('{now}', now)})" for n in order]
     parts += [f"{n} AS ({b})" for n, b in (extra or {}).items()]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body.strip()

@@ -2,23 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from cohortlake import settings as S
 from cohortlake.operators import dimensions, exams, frames
-from cohortlake.plans.driver_tables import University
-from cohortlake.plans.oracle_base import EXAM_COLS, RATE_COLS, RATES, RESUM, query
-
-QUERIES, ORACLES = {}, {}
-LATEST = "(SELECT max(SemesterKey) FROM lines)"
-
-
-def register(name: str, sql: str | None = None):
-    def keep(fn):
-        QUERIES[name] = lambda spark, folder: fn(University(spark, folder))
-        if sql:
-            ORACLES[name] = sql
-        return fn
-    return keep
-
+from cohortlake.plans.oracle_base import EXAM_COLS, LATEST, RATE_COLS, RATES, RESUM, query
+from cohortlake.plans.registry import register
 
 RATE_LIST = ", ".join(EXAM_COLS + RATE_COLS)
 
@@ -80,9 +66,11 @@ def _(u):
     return u.exam_dist
 
 
-@register("payments_by_faculty", query("SELECT * FROM pay_fac", "pay_fac"))
+@register("payments_by_faculty", query(
+    "SELECT SemesterKey, FacultyKey, Invoices, WithDebt, Tuition::DOUBLE AS Tuition, Paid::DOUBLE AS Paid, Debt::DOUBLE AS Debt FROM pay_fac",
+    "pay_fac"))
 def _(u):
-    return u.payments_faculty
+    return u.payments_faculty.withColumns({c: F.col(c).cast("double") for c in ("Tuition", "Paid", "Debt")})
 
 
 @register("payments_by_month", query(

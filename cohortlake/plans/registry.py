@@ -1,8 +1,17 @@
-"""All registered queries and their SQL."""
+"""All registered queries and their SQL, by name."""
 
-from cohortlake.plans import queries_exams
+from cohortlake.plans.driver_tables import University
 
 QUERIES, ORACLES = {}, {}
-for module in (queries_exams,):
-    QUERIES.update(module.QUERIES)
-    ORACLES.update(module.ORACLES)
+
+
+def register(name: str, sql: str | None = None):
+    """Register a function of a University under a name, with the SQL that must give the same rows."""
+    def keep(fn):
+        if name in QUERIES:
+            raise ValueError(f"query {name} is registered twice")
+        QUERIES[name] = lambda spark, folder: fn(University(spark, folder))
+        if sql:
+            ORACLES[name] = sql
+        return fn
+    return keep
