@@ -89,16 +89,23 @@ def explain(rows: DataFrame, scorer: Scorer, baseline: dict[str, float]) -> Data
     shuffled and no row is copied.
     """
     kept = rows.columns
-    base = scorer(rows.withColumn("_own", F.struct(*S.FEATURES))).withColumnRenamed("_risk", "_base").drop(*RAW)
-    for group, features in S.FACTOR_GROUPS.items():
-        variant = scorer(base.withColumns({f: F.lit(baseline[f]) for f in features}))
-        fall = F.greatest(F.col("_base") - F.col("_risk"), F.lit(0.0)).alias(f"_c_{group}")
-        base = variant.select(*[F.col("_own").getField(c).alias(c) if c in features else F.col(c)
-                                for c in base.columns], fall)
+    base = scorer(rows.select("*", F.struct(*S.FEATURES).alias("_own")))
+    change: tuple = ()
+    step = F.col("_risk").alias("_base")
+    for group, features in [*S.FACTOR_GROUPS.items(), (None, ())]:
+        # restore the previous group's features and replace those of the next one
+        columns = [F.lit(baseline[c]).alias(c) if c in features
+                   else F.col("_own").getField(c).alias(c) if c in change else F.col(c)
+                   for c in base.columns if c not in RAW]
+        base = base.select(*columns, step)
+        if group:
+            base = scorer(base)
+            step = F.greatest(F.col("_base") - F.col("_risk"), F.lit(0.0)).alias(f"_c_{group}")
+            change = features
     names = list(S.FACTOR_GROUPS)
     total = sum((F.col(f"_c_{g}") for g in names[1:]), F.col(f"_c_{names[0]}"))
     share = {g: F.coalesce(F.bround(F.try_divide(F.col(f"_c_{g}"), F.col("_total")) * 100, 1), F.lit(0.0)) for g in names}
-    return base.withColumn("_total", total).select(*kept, *[share[g].alias(g) for g in names])
+    return base.select("*", total.alias("_total")).select(*kept, *[share[g].alias(g) for g in names])
 
 
 def main_factors(top: int = 4) -> Column:

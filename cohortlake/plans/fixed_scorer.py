@@ -19,6 +19,7 @@ def linear_scorer(rows: DataFrame) -> DataFrame:
     risk = F.lit(INTERCEPT)
     for name, weight in RISK_WEIGHTS:
         risk = risk + F.col(name) * weight
-    return rows.withColumn("_risk", clip(risk, 0.0, 1.0)).withColumns({
-        "_gpa": F.col("SemGPA") * 0.6 + F.col("CumGPA") * 0.4,
-        "_fail": F.col("FailedCourses") * 0.15, "_dropout": F.col("_risk") * 0.1})
+    risk = clip(risk, 0.0, 1.0)
+    return rows.select(
+        "*", risk.alias("_risk"), (F.col("SemGPA") * 0.6 + F.col("CumGPA") * 0.4).alias("_gpa"),
+        (F.col("FailedCourses") * 0.15).alias("_fail"), (risk * 0.1).alias("_dropout"))

@@ -151,27 +151,27 @@ def _detail(entity):
   FROM (UNPIVOT row ON {', '.join(SCALES)} INTO NAME k VALUE Value) r JOIN (VALUES {SCALE_VALUES}) s(Key, w, Worst, Best) ON s.Key = r.k)"""
 
 
-@register("health_inputs", query(UNI_ROW, "trend", "tsum", "chist", "lines"))
+@register("health_inputs", query(UNI_ROW, "trend", "tsum", "chist", "lines"), gold=True)
 def _(u):
     return H.university_inputs(u.trend, u.teacher_summary(u.latest), u.course_summary(u.latest), u.latest, LIMITS)
 
 
 @register("university_health", query("SELECT * FROM detail", "trend", "tsum", "chist", "lines",
-                                     extra={"row": UNI_ROW, "detail": _detail("SemesterKey")}))
+                                     extra={"row": UNI_ROW, "detail": _detail("SemesterKey")}), gold=True)
 def _(u):
     return H.university_health(u.trend, u.teacher_summary(u.latest), u.course_summary(u.latest), u.latest, LIMITS)
 
 
 @register("health_score", query(
     "SELECT SemesterKey, round(sum(Points), 1) AS HealthScore FROM detail GROUP BY 1", "trend", "tsum", "chist", "lines",
-    extra={"row": UNI_ROW, "detail": _detail("SemesterKey")}))
+    extra={"row": UNI_ROW, "detail": _detail("SemesterKey")}), gold=True)
 def _(u):
     detail = H.university_health(u.trend, u.teacher_summary(u.latest), u.course_summary(u.latest), u.latest, LIMITS)
     return H.health_total(detail, ["SemesterKey"])
 
 
 @register("carry_last_retention", query(
-    f"SELECT FacultyKey, retention AS Retention FROM ({FAC_ROW})", "ftrend", "chist", "lines"))
+    f"SELECT FacultyKey, retention AS Retention FROM ({FAC_ROW})", "ftrend", "chist", "lines"), gold=True)
 def _(u):
     row = u.faculty_trend.where(F.col("SemesterKey") == u.latest)
     return P.carry_last_retention(row, u.faculty_trend, ["FacultyKey"], u.latest).select("FacultyKey", "Retention")
@@ -192,20 +192,20 @@ def faculty_summary(u):
     return H.faculty_summary(u.faculty_trend, u.course_summary(u.latest), u.risk, u.latest, LIMITS)
 
 
-@register("faculty_summary", query("SELECT * FROM fsum", "ftrend", "chist", "risk", "lines", extra=FAC_EXTRA))
+@register("faculty_summary", query("SELECT * FROM fsum", "ftrend", "chist", "risk", "lines", extra=FAC_EXTRA), gold=True)
 def _(u):
     return faculty_summary(u)
 
 
 @register("extreme_faculty", query(
-    "SELECT * FROM fsum ORDER BY HighRiskShare DESC, FacultyKey LIMIT 1", "ftrend", "chist", "risk", "lines", extra=FAC_EXTRA))
+    "SELECT * FROM fsum ORDER BY HighRiskShare DESC, FacultyKey LIMIT 1", "ftrend", "chist", "risk", "lines", extra=FAC_EXTRA), gold=True)
 def _(u):
     return H.extreme_row(faculty_summary(u), "HighRiskShare", "FacultyKey")
 
 
 @register("weakest_component", query(
     "SELECT * FROM detail ORDER BY SubScore, Key LIMIT 1", "trend", "tsum", "chist", "lines",
-    extra={"row": UNI_ROW, "detail": _detail("SemesterKey")}))
+    extra={"row": UNI_ROW, "detail": _detail("SemesterKey")}), gold=True)
 def _(u):
     detail = H.university_health(u.trend, u.teacher_summary(u.latest), u.course_summary(u.latest), u.latest, LIMITS)
     return H.extreme_row(detail, "SubScore", "Key", largest=False)
@@ -213,7 +213,7 @@ def _(u):
 
 @register("season_trend_of_weakest", query(
     f"SELECT FacultyKey, SemesterKey, SemesterLabel, AvgGPA FROM ftrend WHERE SemesterKey % 2 = {LATEST} % 2 AND FacultyKey = "
-    "(SELECT FacultyKey FROM fsum ORDER BY HighRiskShare DESC, FacultyKey LIMIT 1)", "ftrend", "chist", "risk", "lines", extra=FAC_EXTRA))
+    "(SELECT FacultyKey FROM fsum ORDER BY HighRiskShare DESC, FacultyKey LIMIT 1)", "ftrend", "chist", "risk", "lines", extra=FAC_EXTRA), gold=True)
 def _(u):
     worst = H.extreme_row(H.risk_by_faculty(u.risk), "HighRiskShare", "FacultyKey").select("FacultyKey").scalar()
     return P.season_trend_of(u.faculty_trend, worst, u.latest)
@@ -239,7 +239,7 @@ def kpi_row(u):
     return K.kpis(u.trend, u.semesters, u.students, u.risk, u.payments_faculty, u.latest)
 
 
-@register("kpis", _kpi_sql())
+@register("kpis", _kpi_sql(), gold=True)
 def _(u):
     return kpi_row(u)
 
@@ -263,7 +263,7 @@ JOIN (SELECT DepartmentKey AS dk, DepartmentName FROM departments) d ON dk = r.D
 RISK_NEEDS = ("risk", "snap", "students", "faculties", "departments", "lines")
 
 
-@register("risk_table", query(RISK_TABLE, *RISK_NEEDS))
+@register("risk_table", query(RISK_TABLE, *RISK_NEEDS), gold=True)
 def _(u):
     return _doubles(risk_rows(u))
 
@@ -308,7 +308,7 @@ def alert_rows(u):
     return AL.alerts(kpi_row(u), u.faculty_trend, u.course_summary(u.latest), u.latest, LIMITS)
 
 
-@register("alerts", _alert_sql())
+@register("alerts", _alert_sql(), gold=True)
 def _(u):
     return rounded(alert_rows(u))
 
@@ -373,6 +373,6 @@ def _(u):
 
 @register("anomalies", query(
     f"SELECT * FROM ({_fac_anomaly(3.0)}) UNION ALL ({COURSE_ANOMALY.format(z=4.0, rise=0.07)}) UNION ALL "
-    f"({TEACHER_ANOMALY.format(z=3.0, sem=LATEST)})", "ftrend", "chist", "tsum", "lines", extra={"delta": DELTAS, "dz": DELTA_Z}))
+    f"({TEACHER_ANOMALY.format(z=3.0, sem=LATEST)})", "ftrend", "chist", "tsum", "lines", extra={"delta": DELTAS, "dz": DELTA_Z}), gold=True)
 def _(u):
     return rounded(AN.anomalies(u.faculty_trend, u.course_history, u.teacher_summary(u.latest), F.lit(u.latest), LIMITS))
