@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlake import settings as S
+from cohortlake.session import written
 
 SKETCH = 100_000            # the sketch's rank error is at most rows / SKETCH
 SLACK = 3 / SKETCH
@@ -91,41 +92,26 @@ def robust_z(df: DataFrame, value: str, by=(), out: str = "Z", wide: bool = Fals
 def top_share(df: DataFrame, value: str, key: str, share: float, out: str) -> DataFrame:
     """Flag the round(n * share) rows with the largest value; ties go to the smallest key.
 
-    A limit of that size would end in one task. Instead the value at the cut is selected, and
-    among the rows that tie with it the key at the cut.
+    A limit of that size would end in one task. Instead the value at the cut is selected, and among
+    the rows that tie with it the key at the cut. Only these few numbers come to the driver.
     """
-    # k-th largest = (n - k + 1)-th smallest
-    cut = pick_ranks(df, value, 1 - share, lambda n: {"_cut": n - F.bround(n * share).cast("long") + 1})
-    marked = attach(df, cut.select(F.col("_cut"), F.bround(F.col("n") * share).cast("long").alias("_k")))
-    above = marked.agg(F.count(F.when(F.col(value) > F.col("_cut"), 1)).alias("_above"),
-                       F.count(F.when(F.col(value) == F.col("_cut"), 1)).alias("_ties"),
-                       F.max("_k").alias("_k"))
-    # rank of the last key let in among the ties, in cells so that no task holds all of them
-    ties = marked.where(F.col(value) == F.col("_cut")).select(F.col(key).alias("_key"))
-    last = nth_key(ties, "_key", above.select((F.col("_k") - F.col("_above")).alias("_want")))
-    done = attach(marked, last.select(F.col("_key").alias("_last")))
-    inside = (F.col(value) > F.col("_cut")) | ((F.col(value) == F.col("_cut")) & (F.col(key) <= F.col("_last")))
-    return done.withColumn(out, F.coalesce(inside, F.lit(False)) & (F.col("_k") > 0)).drop("_cut", "_k", "_last")
-
-
-def nth_key(df: DataFrame, key: str, want: DataFrame) -> DataFrame:
-    """The n-th smallest of a column of unique whole numbers; n is a one-row frame.
-
-    Three rounds of counting, each on cells at most CELL wide within the cell chosen before.
-    """
-    n = want.select(F.max(want.columns[0])).scalar()
-    level = df.select(F.col(key).cast("long").alias("_k"))
-    offset = n
-    for shift in (32, 16, 0):
-        cell = F.shiftright(F.col("_k"), shift)
-        cells = level.groupBy(cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_c"))
-        cells = cells.withColumn("_upto", F.sum("_c").over(Window.orderBy("_cell")))
-        chosen = (cells.where((F.col("_upto") >= offset) & (F.col("_upto") - F.col("_c") < offset))
-                  .select(F.struct("_cell", (offset - F.col("_upto") + F.col("_c")).alias("_rest")).alias("_s")))
-        pick = chosen.scalar()
-        level = level.where(cell == pick.getField("_cell"))
-        offset = pick.getField("_rest")
-    return level.select(F.max("_k").alias(key))
+    slim = written(df.select(value, key), "top-share")
+    # the k-th largest is the (n - k + 1)-th smallest
+    found = pick_ranks(slim, value, 1 - share, lambda n: {
+        "cut": n - F.bround(n * share).cast("long") + 1}).withColumn("k", F.bround(F.col("n") * share).cast("long")).first()
+    if found is None or not found["k"]:
+        return df.withColumn(out, F.lit(False))
+    cut, wanted = F.lit(found["cut"]), found["k"]
+    sizes = slim.agg(F.count(F.when(F.col(value) > cut, 1)).alias("above"),
+                     F.count(F.when(F.col(value) == cut, 1)).alias("ties")).first()
+    inside, rest = F.col(value) > cut, wanted - sizes["above"]
+    if rest == sizes["ties"]:
+        inside = F.col(value) >= cut
+    elif rest > 0:
+        last = pick_ranks(slim.where(F.col(value) == cut), key, rest / sizes["ties"],
+                          lambda n: {"last": F.lit(rest)}).first()["last"]
+        inside = inside | ((F.col(value) == cut) & (F.col(key) <= F.lit(last)))
+    return df.withColumn(out, F.coalesce(inside, F.lit(False)))
 
 
 def totals_below(df: DataFrame, score: str, sums: list[str], by=()) -> DataFrame:
