@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from cohortlake import settings as S
 from cohortlake.functions.measures import grade_of
 from cohortlake.operators import frames, performance, risk as R, snapshot
+from cohortlake.operators.cleaning import TableSpec
 from cohortlake.plans.fixed_scorer import THRESHOLD, linear_scorer
 from cohortlake.session import written
 
@@ -48,6 +49,15 @@ def refresh_gold() -> None:
     _gold.clear()
 
 
+DELIVERY = TableSpec(
+    "deliveries", "RecordID", ("RecordID", "CourseID", "Score", "Amount", "Status", "Date", "Name", "Gender"),
+    names=("Name",), cats={"Status": S.ATTENDANCE, "Gender": S.GENDER}, ints=("RecordID", "CourseID"),
+    floats=("Score", "Amount"), dates=("Date",), defaults={"Gender": S.GENDER_UNKNOWN}, impute={"Score": "CourseID"},
+    required=("RecordID", "CourseID", "Score", "Status", "Date"), outliers=("Score", "Amount"),
+    ranges={"Score": (0, 30), "Amount": (0, 100000)}, date_ranges={"Date": ("1995-01-01", "2001-12-31")},
+    foreign={"CourseID": "part"})
+
+
 class University:
     """Lazy frames over one folder of tables. Nothing is read before a result is asked for."""
 
@@ -204,6 +214,35 @@ class University:
             F.col("event_id").alias("InterventionID"), F.col("user_id").alias("StudentKey"),
             F.col("event_type").alias("Status"), F.date_trunc("second", "ts").alias("CreatedAt"))
 
+    # -------------------------------------------------------- delivered text rows
+    @cached_property
+    def deliveries(self) -> DataFrame:
+        """Order lines as a delivery of text rows with planted dirt; one file per line number."""
+        order, part, supp = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
+        amount = F.floor("l_extendedprice")
+        spaced = F.concat_ws(" ", F.floor(amount / 1000).cast("string"), F.lpad((amount % 1000).cast("string"), 3, "0"))
+        status = (F.when(F.col("l_returnflag") == "A", S.ATTENDANCE[0]).when(F.col("l_returnflag") == "N", S.ATTENDANCE[1])
+                  .otherwise(S.ATTENDANCE[2]))
+        ship = F.to_date("l_shipdate")
+        full_order = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+                      "l_linestatus", "l_shipdate"]
+        return self.table("lineitem").select(
+            F.concat(F.lit("lineitem_"), F.col("l_linenumber").cast("string")).alias("_file"),
+            F.struct(*full_order).alias("_ord"),
+            F.when(part % 199 != 0, (order * 10 + F.col("l_linenumber")).cast("string")).alias("RecordID"),
+            F.when(part % 211 == 0, "n/a").when(order % 97 == 0, (part + 9000000).cast("string"))
+            .otherwise(part.cast("string")).alias("CourseID"),
+            F.when(order % 59 == 0, "1000").when(order % 53 != 0, (16 + F.round(F.col("l_discount") * 100)).cast("int").cast("string"))
+            .alias("Score"),
+            F.when(part % 41 == 0, spaced).otherwise(amount.cast("string")).alias("Amount"),
+            F.when(supp % 11 == 0, F.upper(status)).when(supp % 13 == 0, F.lower(status))
+            .when(supp % 17 == 0, F.concat(F.lit("  "), status, F.lit("\t"))).when(supp % 19 == 0, "xx").otherwise(status).alias("Status"),
+            F.when(supp % 23 == 0, F.date_format(ship, "d.M.yyyy")).when(supp % 29 == 0, "not-a-date")
+            .when(supp % 31 == 0, "2099-12-31").otherwise(ship.cast("string")).alias("Date"),
+            F.when(supp % 3 == 0, "ali").otherwise("Vali").alias("Name"),
+            F.when(order % 61 == 0, F.lit(None).cast("string")).when(order % 2 == 0, S.GENDER[0])
+            .otherwise(S.GENDER[1].lower()).alias("Gender"))
+
     # ------------------------------------------------------------ derived frames
     @property
     def snap(self) -> DataFrame:
