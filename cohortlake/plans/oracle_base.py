@@ -44,7 +44,7 @@ FROM (SELECT *, CurrentScore + MidtermScore + FinalScore AS TotalScore FROM (
     12 + round(l_tax * 100) AS CurrentScore, 16 + round(l_discount * 100) AS MidtermScore,
     CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 0 ELSE least(50, 5 + l_quantity) END AS FinalScore,
     CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 0 ELSE 1 END AS IsAdmitted,
-    60.0 + l_linenumber * 5 AS AttendanceScore, 1 + l_linenumber % 6 AS Credits,
+    60::DOUBLE + l_linenumber * 5 AS AttendanceScore, 1 + l_linenumber % 6 AS Credits,
     CASE WHEN l_linenumber = 7 THEN 'Kelmadi' WHEN l_linenumber = 6 AND l_returnflag = 'R' THEN 'Sababli' ELSE 'Keldi' END AS AttStatus,
     CASE WHEN l_linestatus = 'O' AND l_linenumber <= 2 THEN 0 ELSE 1 END AS IsSubmitted,
     CASE WHEN l_linestatus = 'O' AND l_linenumber <= 2 THEN 0 ELSE l_quantity * 2 END AS Score,
