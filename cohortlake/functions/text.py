@@ -2,13 +2,19 @@
 
 from pyspark.sql import Column, functions as F
 
-SPACE_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# fixed values: characters that count as white space at the ends of a value
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+def stripped(c: Column) -> Column:
+    """Strip all white space at the ends, tabs and no-break spaces too."""
+    return F.btrim(c, F.lit(SPACES))
+
+
 def trimmed(c: Column) -> Column:
-    """Strip all white space at the ends (tabs and no-break spaces too); empty text becomes null."""
-    return F.nullif(F.regexp_replace(c, SPACE_ENDS, ""), F.lit(""))
+    """Stripped text; empty text becomes null."""
+    return F.nullif(stripped(c), F.lit(""))
 
 
 def proper_case(c: Column) -> Column:
@@ -35,11 +41,11 @@ def number(c: Column) -> Column:
 
 
 def iso_date(c: Column) -> Column:
-    return F.try_to_date(c, "yyyy-M-d")
+    return F.when(F.contains(c, F.lit("-")), F.try_to_date(c, "yyyy-M-d"))
 
 
 def local_date(c: Column) -> Column:
-    return F.try_to_date(c, "d.M.yyyy")
+    return F.when(F.contains(c, F.lit(".")), F.try_to_date(c, "d.M.yyyy"))
 
 
 def contains(c: Column, text) -> Column:

@@ -55,7 +55,7 @@ def first_reason(rules: list[tuple[Column, str]], earlier: Column | None = None)
 
 def trim_all(df: DataFrame, columns) -> DataFrame:
     """Strip every column, empty becomes null; _trims marks rows that changed; raw text is kept."""
-    changed = any_of([F.col(c) != F.regexp_replace(F.col(c), X.SPACE_ENDS, "") for c in columns])
+    changed = any_of([F.col(c) != X.stripped(F.col(c)) for c in columns])
     rest = [c for c in df.columns if c not in columns]
     return df.select(*rest, *[X.trimmed(F.col(c)).alias(c) for c in columns],
                      F.struct(*columns).alias("_raw"), flag(changed).alias("_trims"))
