@@ -92,7 +92,6 @@ def carry_last_retention(table: DataFrame, history: DataFrame, by: list[str], se
     newest = known.withColumn("_newest", F.max("SemesterKey").over(everything))
     last = newest.where(F.col("SemesterKey") == F.col("_newest")).select(*by, F.col("Retention").alias("_last"))
     table = table.withColumn("_gap", F.max(F.col("Retention").isNull()).over(everything))
-    table = table.join(last, by, "left") if by else table.join(
-        last.withColumn("SemesterKey", F.lit(semester)), "SemesterKey", "left")
+    table = table.join(last, by, "left") if by else table.withColumn("_last", last.agg(F.max("_last")).scalar())
     chosen = F.when(F.col("_gap"), F.col("_last")).otherwise(F.col("Retention"))
     return table.withColumn("Retention", chosen).drop("_last", "_gap")

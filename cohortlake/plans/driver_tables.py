@@ -315,6 +315,10 @@ class University:
 
     @gold_frame
     def risk(self) -> DataFrame:
+        return self.risk_plan
+
+    @property
+    def risk_plan(self) -> DataFrame:
         """Scored students. The scoring time is fixed so that results are repeatable."""
         return R.score_students(R.to_score(self.dataset), linear_scorer, self.baseline, THRESHOLD, "linear",
                                 F.lit("2002-01-01 00:00:00").cast("timestamp"))

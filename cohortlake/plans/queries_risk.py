@@ -162,7 +162,7 @@ def _(u):
     return linear_scorer(u.dataset).select("StudentKey", "SemesterKey", risk_level("_risk").alias("RiskLevel"))
 
 
-@register("explain_occlusion", query(f"SELECT StudentKey, {', '.join(GROUPS)} FROM risk", "risk"))
+@register("explain_occlusion", query(f"SELECT StudentKey, {', '.join(GROUPS)} FROM risk", "risk"), gold=True)
 def _(u):
     return R.explain(R.to_score(u.dataset), linear_scorer, u.baseline).select("StudentKey", *S.FACTOR_GROUPS)
 
@@ -172,9 +172,9 @@ def _(u):
     return u.risk.select("StudentKey", "MainFactors")
 
 
-@register("score_students", query("SELECT * EXCLUDE (ScoredAt) FROM risk", "risk"))
+@register("score_students", query("SELECT * EXCLUDE (ScoredAt) FROM risk", "risk"), gold=True)
 def _(u):
-    return u.risk.drop("ScoredAt")
+    return u.risk_plan.drop("ScoredAt")
 
 
 def _levers_sql():
