@@ -183,13 +183,14 @@ class Cleaned:
 def clean(df: DataFrame, spec: TableSpec, parents: Mapping[str, DataFrame] | None = None, keep=None) -> Cleaned:
     """C1-C16 in order. ``df`` has the text columns, _file and _ord (delivery order).
 
-    ``keep`` may store the typed and completed rows (for example ``session.written``) so that the
-    outlier check, which passes over them several times, does not read the delivery again.
+    ``keep`` may store rows (for example ``session.written``) before the steps that read them more
+    than once: the group medians and the outlier check.
     """
     rows = dedupe_keep_last(trim_all(df, list(spec.columns)), spec.pk, ["_ord"])
     rows = fill_defaults(retype(standardise(rows, spec), spec), spec)
+    rows = keep(rows, spec.name) if keep and spec.impute else rows
     rows = require(impute_group_median(rows, spec), spec)
-    rows = keep(rows, spec.name) if keep else rows
+    rows = keep(rows, spec.name) if keep and spec.outliers else rows
     outliers = flag_outliers(rows, spec)
     rows = check_foreign_keys(check_ranges(rows, spec), spec, parents or {})
     if spec.payment_rules:
