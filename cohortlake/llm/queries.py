@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlake.llm import bpe, host_rules, ngram_join, token_files
+from cohortlake.llm import bpe, host_rules, ngram_join, substring, token_files
 from cohortlake.llm.common import frame_of
 
 QUERIES, ORACLES = {}, {}
@@ -29,6 +29,11 @@ def ngram(spark, sf_dir):
     return ngram_join.join(frame_of(spark, sf_dir, "documents"))[1].select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+@register("op3_substring_dedup")
+def substring_dedup(spark, sf_dir):
+    return substring.digests(frame_of(spark, sf_dir, "documents"))
+
+
 @register("op7_token_files")
 def token_file(spark, sf_dir):
     return token_files.read(token_files.write(frame_of(spark, sf_dir, "documents")))
