@@ -22,6 +22,8 @@ import tiktoken
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
+from cohortlake.llm.common import slices
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECE = 1 << 15
 #: No match of the pattern goes from a character that is no white space to a blank or a line feed; \s of the regex
@@ -50,14 +52,17 @@ def pieces(text: str, most: int = PIECE) -> Iterator[str]:
     yield text[at:]
 
 
-def _ids(texts: pa.Array, enc: tiktoken.Encoding, most: int) -> pa.Array:
-    sizes, parts = [], []
-    for text in texts.to_pylist():
-        got = [enc.encode_to_numpy(p) for p in pieces(text, most)] if text else []
-        sizes.append(sum(map(len, got)))
-        parts += got
-    values = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(values))
+def _ids(column: pa.Array, enc: tiktoken.Encoding, most: int) -> pa.Array:
+    out = []
+    for part in slices(pa.RecordBatch.from_arrays([column], ["text"]), "text", 1 << 20):
+        sizes, got = [], []
+        for text in part.column("text").to_pylist():
+            own = [enc.encode_to_numpy(p) for p in pieces(text, most)] if text else []
+            sizes.append(sum(map(len, own)))
+            got += own
+        values = np.concatenate(got).astype(np.int32) if got else np.zeros(0, np.int32)
+        out.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(values)))
+    return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
 
 def encode(docs: DataFrame, ranks: str | None = None, pattern: str = public_tokenizers.PATTERN, text: str = "text",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlake.llm import bpe, host_rules, ngram_join, substring, token_files
+from cohortlake.llm import bpe, host_rules, ngram_join, substring, token_files, toxicity
 from cohortlake.llm.common import frame_of
 
 QUERIES, ORACLES = {}, {}
@@ -34,6 +34,11 @@ def substring_dedup(spark, sf_dir):
     return substring.digests(frame_of(spark, sf_dir, "documents"))
 
 
+@register("op4_toxicity")
+def toxic(spark, sf_dir):
+    return toxicity.held_out(frame_of(spark, sf_dir, "documents"), frame_of(spark, sf_dir, "labels"))
+
+
 @register("op7_token_files")
 def token_file(spark, sf_dir):
     return token_files.read(token_files.write(frame_of(spark, sf_dir, "documents")))
