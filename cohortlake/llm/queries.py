@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlake.llm import bpe, host_rules, ngram_join, substring, token_files, toxicity
+from cohortlake.llm import bpe, decontamination, host_rules, ngram_join, substring, token_files, toxicity
 from cohortlake.llm.common import frame_of
 
 QUERIES, ORACLES = {}, {}
@@ -39,6 +39,11 @@ def toxic(spark, sf_dir):
     return toxicity.held_out(frame_of(spark, sf_dir, "documents"), frame_of(spark, sf_dir, "labels"))
 
 
+@register("op5_decontamination")
+def decontaminate(spark, sf_dir):
+    return decontamination.contamination(frame_of(spark, sf_dir, "documents"), frame_of(spark, sf_dir, "benchmark"))
+
+
 @register("op7_token_files")
 def token_file(spark, sf_dir):
     return token_files.read(token_files.write(frame_of(spark, sf_dir, "documents")))
