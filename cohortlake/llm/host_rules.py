@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cohortlake.functions.skew import lookup
 from cohortlake.llm.common import WORD, written
 
 LEAST_WORDS = 50
@@ -65,9 +66,8 @@ def host_verdicts(judged: DataFrame, most_failing: float = MOST_FAILING) -> Data
 def judge(docs: DataFrame, text: str = "text", host: str = "source", least_words: int = LEAST_WORDS, most_repeated: int = MOST_REPEATED,
           most_failing: float = MOST_FAILING) -> DataFrame:
     """doc_id, host, the figures, base_failed, host_failed and kept. The figures are written once, as verdicts and
-    documents both read them. A failing host of any size is matched to its documents by a join that Spark splits
-    where one host has many rows; only failing hosts are joined, so a hot host that passes moves nothing else."""
+    documents both read them. The verdicts are joined back with every host's rows spread over many tasks."""
     rows = written(base_rules(measures(docs, text, host), least_words, most_repeated), "rules")
     bad = host_verdicts(rows, most_failing).where("host_failed").select("host", "host_failed")
-    rows = rows.join(bad, "host", "left").withColumn("host_failed", F.coalesce("host_failed", F.lit(False)))
+    rows = lookup(rows, bad, ["host"], ["doc_id"]).withColumn("host_failed", F.coalesce("host_failed", F.lit(False)))
     return rows.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
