@@ -282,8 +282,8 @@ def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                             out = []
                     if out:
                         yield rows(out, with_ids)
-    # a file is one task's work
-    return shards.repartition(F.col("shard")).mapInArrow(run, schema)
+    # a file is one task's work; a named number of partitions is one that adaptive execution leaves as it is
+    return shards.repartition(max(1, manifest.count())).mapInArrow(run, schema)
 
 
 def rows(out: list[tuple], with_ids: bool) -> pa.RecordBatch:
