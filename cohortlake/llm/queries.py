@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlake.llm import bpe, decontamination, host_rules, ngram_join, substring, token_files, toxicity
+from cohortlake.llm import bpe, decontamination, host_rules, lm, ngram_join, substring, token_files, toxicity
 from cohortlake.llm.common import frame_of
 
 QUERIES, ORACLES = {}, {}
@@ -75,3 +75,8 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
 def host_rule(spark, sf_dir):
     return host_rules.judge(frame_of(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@register("op10_lm_scoring")
+def language_model(spark, sf_dir):
+    return lm.score(frame_of(spark, sf_dir, "documents"))
