@@ -9,7 +9,7 @@ import xxhash
 from cohortlake.llm.common import mix64, texts, words_of
 
 #: Word hashes remembered by a worker before it starts anew; a bound on memory only.
-MEMORY = 1_000_000
+MEMORY = 250_000
 #: Odd multipliers, one for each place of a shingle.
 PLACES = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 

@@ -29,7 +29,7 @@ from cohortlake.llm.shingles import rolling, word_hashes
 
 WINDOW = 20
 #: Words of a task that are packed together; a bound on memory only.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 #: Buckets of hashes for each shuffle partition; a bucket is what one call matches.
 BUCKETS = 8
 LAST = (1 << 63) - 1  # a null id
@@ -179,7 +179,7 @@ def places_to_go(found: DataFrame, window: int) -> DataFrame:
         # equal to the earliest place here: the same document in another row
         lead = np.maximum.accumulate(np.where(first, np.arange(first.size), 0))
         later = (doc != doc[lead]) | (at != at[lead])
-        yield pa.RecordBatch.from_arrays([pa.array(h1[first].view(np.int64)), pa.array(h2[first].view(np.int64)), pa.array(doc[first]), pa.array(at[first].astype(np.int32)), pa.nulls(int(first.sum()), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(h1[first].view(np.int64)), pa.array(h2[first].view(np.int32)), pa.array(doc[first]), pa.array(at[first].astype(np.int32)), pa.nulls(int(first.sum()), pa.binary())], names)
         order = np.lexsort((at[later], doc[later]))
         doc, at = doc[later][order], at[later][order]
         starts, counts = groups(doc)
@@ -187,7 +187,7 @@ def places_to_go(found: DataFrame, window: int) -> DataFrame:
         if n:
             data = [at[a:a + c].astype("<u4").tobytes() for a, c in zip(starts, counts)]
             # rows that have their answer go through the same exchange under keys of their own
-            yield pa.RecordBatch.from_arrays([pa.array(doc[starts]), pa.nulls(n, pa.int64()), pa.array(doc[starts]), pa.nulls(n, pa.int32()), pa.array(data, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[starts]), pa.nulls(n, pa.int32()), pa.array(doc[starts]), pa.nulls(n, pa.int32()), pa.array(data, pa.binary())], names)
 
     def run(batches):
         held, size = [], 0
@@ -205,14 +205,14 @@ def places_to_go(found: DataFrame, window: int) -> DataFrame:
                     np.add.at(hit, np.maximum(at - (window - block), 0), 1)
                     np.add.at(hit, at + 1, -1)
                     p = np.flatnonzero(np.cumsum(hit)[:n] > 0)
-                    held.append((doc, p, rolling(h, window)[p], rolling(h * np.uint64(0x9E3779B97F4A7C15) ^ (h >> np.uint64(32)), window)[p]))
+                    held.append((doc, p, rolling(h, window)[p], (rolling(h * np.uint64(0x9E3779B97F4A7C15) ^ (h >> np.uint64(32)), window)[p] >> np.uint64(32)).astype(np.uint32)))
                     size += p.size
-                if size > CHUNK // 2:
+                if size > CHUNK:
                     yield from pack(held)
                     held, size = [], 0
         if held:
             yield from pack(held)
-    rows = found.mapInArrow(run, "h1 long, h2 long, doc_id long, at int, gone binary")
+    rows = found.mapInArrow(run, "h1 long, h2 int, doc_id long, at int, gone binary")
     place = F.struct("doc_id", "at")
     rows = rows.withColumn("first", F.min(place).over(W.partitionBy("h1", "h2")))
     rows = rows.where(F.col("gone").isNotNull() | (place != F.col("first")))
