@@ -10,11 +10,12 @@ not empty before empty ones, parts that few sets share before those known to be
 ``MOST_FREQUENT``, found by counting; a different choice changes the work and not the result). By the pigeonhole
 principle, two linked sets of a band have a part in common. A set just above a band is also put into that band, so that
 links across its border are met. A part is sparse, wide enough for one bit of 2^64 / parts, and held as the XOR of its
-shingles' hashes; a second, dense sketch of 2L bits is what distances are measured on.
+shingles' hashes; a second, dense sketch of 4L bits is what distances are measured on.
 
 Sets that share a part are compared with the least id among them, first by size and dense sketch, then exactly by
-their texts. Where members of a part are in different components after that, the pairs across components are compared
-too, in blocks of at most ``BLOCK`` a side; nothing is ever left out.
+their texts. Where members of a part are in different components after that, they are compared with another leader,
+drawn by a hash, ``ROUNDS`` times in all; what is in different components even then is compared pair by pair across
+components, in blocks of at most ``BLOCK`` a side. Nothing is ever left out.
 
 Cases: null and empty texts, or texts without words, have the empty set and stand alone; rows with equal sets are one
 class; repeated rows are copies; rows that share an id are one document, linked with whatever any of its texts is linked
@@ -39,6 +40,7 @@ MOST_FREQUENT = 1 << 20
 FREQUENT = 64
 #: Members of a frequent part that look for their leader in one task.
 SPREAD = 4096
+ROUNDS = 3
 BLOCK = 256
 EMPTY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -50,7 +52,7 @@ def parts_of(low: int) -> int:
 
 
 def bits_of(low: int) -> int:
-    return max(128, 2 * low)
+    return max(256, 4 * low)
 
 
 def bands(n: int, percent: int) -> list[tuple[int, int]]:
@@ -198,12 +200,10 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the pairs, those that are linked, by exact comparison of their shingles. Only the texts of documents in a pair
-    go further than their join with the ids; a document in very many pairs is copied once for each SPREAD of them."""
+def verified(pairs: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of the pairs, those that are linked, by exact comparison of the shingles of their texts, which ``held`` has. A
+    document in very many pairs is copied once for each SPREAD of them."""
     pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    held = written(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "candidates")
     copies = pairs.groupBy("a").count().select(F.col("a").alias("doc_id"), (F.col("count") / SPREAD).cast("int").alias("more"))
     first = held.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("more"))))
     spread = pairs.join(copies.withColumnRenamed("doc_id", "a"), "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("more") + 1).cast("int"))
@@ -267,6 +267,27 @@ def across(members: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(part, rep, root) for the parts whose members are in several components."""
+    members = members.select("part", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    several = members.groupBy("part").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("part")
+    return members.join(several, "part", "left_semi")
+
+
+def joined(links: DataFrame, roots: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and roots with more links between components."""
+    more = written(more, "links")
+    if more.isEmpty():
+        return links, roots
+    at = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    upper = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    upper = components(upper).select(F.col("node").alias("root"), F.col("root").alias("next"))
+    # a node that had no link until now is its own root
+    new = more.select(F.col("a").alias("node")).union(more.select("b")).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+    roots = roots.union(new).join(upper, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return links.union(more), written(roots, "roots")
+
+
 # -- the join --------------------------------------------------------------------------------------------------------
 
 def join(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -302,27 +323,32 @@ def join(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int =
     as_rep = lambda x: of_doc.select(F.col("doc_id").alias(x), F.col("rep").alias(f"{x}_rep"))
     pairs = pairs.join(as_rep("a"), "a").join(as_rep("b"), "b").where("a_rep != b_rep")
     pairs = pairs.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct()
-    links = written(verified(likely(pairs, reps, percent), docs, width, percent), "links")
+    # from here on, only documents that share a part with another one matter
+    members = shared.join(as_rep("doc"), "doc").select("part", F.col("doc_rep").alias("rep"))
+    held = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    held = written(held, "candidates")
+    release(spark)
+    links = written(verified(likely(pairs, reps, percent), held, width, percent), "links")
     roots = components(links)
 
-    # parts whose members are not of one component yet
-    members = shared.join(as_rep("doc"), "doc").select("part", F.col("doc_rep").alias("rep")).distinct()
-    members = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    kinds = members.groupBy("part").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("f1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("f2"))
-    kinds = kinds.where("r0 != r1 and size > 2").groupBy("size", "f1", "f2").agg(F.min("part").alias("part"))
-    kinds = kinds.select("part", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(kinds, "part").join(reps, "rep").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "root", "n", "sketch")
-    more = across(members, percent).join(links, ["a", "b"], "left_anti")
-    more = written(verified(more, docs, width, percent), "links")
-    links = links.union(more)
-    if not more.isEmpty():
-        at = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
-        upper = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-        upper = components(upper)
-        known = roots.union(more.select("a", "a")).union(more.select("b", "b")).groupBy("node").agg(F.min_by("root", (F.col("root") == F.col("node")).cast("int")).alias("root"))
-        roots = written(known.join(upper.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+    members = unsettled(members.distinct(), roots)
+    kinds = members.groupBy("part").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("f1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("f2"))
+    kinds = kinds.where("size > 2").groupBy("size", "f1", "f2").agg(F.min("part").alias("part")).select("part")
+    members = written(members.join(kinds, "part", "left_semi").select("part", "rep"), "unsettled")
+    for k in range(1, ROUNDS):
+        rooted = unsettled(members, roots)
+        chief = F.min_by(F.struct("rep", "root"), F.xxhash64("rep", F.lit(k)))
+        tried = rooted.join(rooted.groupBy("part").agg(chief.alias("chief")), "part").where("chief.root != root")
+        tried = tried.select(F.least("rep", "chief.rep").alias("a"), F.greatest("rep", "chief.rep").alias("b")).distinct()
+        links, roots = joined(links, roots, verified(likely(tried, reps, percent), held, width, percent))
+
+    rooted = unsettled(members, roots)
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rooted = rooted.join(rooted.groupBy("part").agg(F.count(F.lit(1)).alias("size")), "part").withColumn("blocks", blocks).join(reps, "rep")
+    rooted = rooted.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
+    rooted = rooted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rooted = rooted.select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "root", "n", "sketch")
+    links, roots = joined(links, roots, verified(across(rooted, percent), held, width, percent))
     least = roots.groupBy("root").agg(F.min("node").alias("component_id"))
     named = roots.join(least, "root").select(F.col("node").alias("rep"), "component_id")
     out = nodes.join(named, "rep", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"),
