@@ -6,7 +6,7 @@ import heapq
 
 import numpy as np
 
-LANES = 256
+LANES = 512
 WINDOW = 32
 START, END, OTHER = -1, 0, 1  # START is the last row of the input table
 
@@ -15,18 +15,19 @@ class Gru:
     """Tokens are 0 (end), 1 (any word outside the vocabulary) and the vocabulary by rank. Classes are runs of ``group``
     ids; p(token) = p(class) * p(token in its class), so that a token costs classes + group instead of all tokens."""
 
-    NAMES = ("x", "u", "b", "c", "cb", "o", "ob")
+    NAMES = ("x", "u", "b", "c", "o")
 
-    def __init__(self, size: int, hidden: int = 32, group: int = 64, params: dict | None = None):
+    def __init__(self, size: int, hidden: int = 16, group: int = 46, params: dict | None = None):
         self.size, self.hidden, self.group = size, hidden, group
         self.classes = -(-size // group)
         if params is None:
             rng = np.random.default_rng(0)
             normal = lambda *shape: (0.1 * rng.standard_normal(shape)).astype(np.float32)
             params = {"x": normal(size + 1, 3 * hidden), "u": normal(hidden, 3 * hidden), "b": np.zeros(3 * hidden, np.float32),
-                      "c": normal(self.classes, hidden), "cb": np.zeros(self.classes, np.float32),
-                      "o": normal(self.classes, group, hidden), "ob": np.zeros((self.classes, group), np.float32)}
-            params["ob"].ravel()[size:] = -1e9  # places of the last class that no token has
+                      # the last column is the bias
+                      "c": normal(self.classes, hidden + 1), "o": normal(self.classes, group, hidden + 1)}
+            params["o"].reshape(-1, hidden + 1)[size:] = 0
+            params["o"].reshape(-1, hidden + 1)[size:, -1] = -1e9  # places of the last class that no token has
         self.p = params
 
     def flat(self) -> np.ndarray:
@@ -44,62 +45,75 @@ class Gru:
     def forward(self, tokens: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """States after reading each row of ``tokens`` [steps, lanes], and the last; ``fresh`` marks starts of documents,
         where the state is zero. ``keep`` collects what the way back needs."""
-        x, u, b, n = self.p["x"], self.p["u"], self.p["b"], self.hidden
-        out = np.empty((*tokens.shape, n), np.float32)
+        u, n = self.p["u"], self.hidden
+        x = self.p["x"] + self.p["b"]
+        out = np.empty((*tokens.shape, n), x.dtype)
         for t in range(tokens.shape[0]):
             if fresh[t].any():
-                h = np.where(fresh[t][:, None], np.float32(0), h)
+                h = np.where(fresh[t][:, None], x.dtype.type(0), h)
             hu = h @ u
             a = x[tokens[t]]
-            a += b
-            gates = 1 / (1 + np.exp(-(a[:, :2 * n] + hu[:, :2 * n])))
-            z, r = gates[:, :n], gates[:, n:]
-            new = np.tanh(a[:, 2 * n:] + r * hu[:, 2 * n:])
+            gates = a[:, :2 * n] + hu[:, :2 * n]
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            z, r, hn = gates[:, :n], gates[:, n:], hu[:, 2 * n:]
+            new = r * hn
+            new += a[:, 2 * n:]
+            np.tanh(new, out=new)
             if keep is not None:
-                keep.append((h, z, r, new, hu[:, 2 * n:]))
-            h = new + z * (h - new)
+                keep.append((h, z, r, new, hn))
+            h = h - new
+            h *= z
+            h += new
             out[t] = h
         return out, h
 
+    @staticmethod
+    def softmax(states: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unnormalised probabilities and their sums."""
+        e = states @ w.T
+        np.exp(e, out=e)
+        total = e @ np.ones(e.shape[1], np.float32)
+        if not (np.isfinite(total).all() and total.min() > 0):  # out of range without the usual shift by the maximum
+            e = states @ w.T
+            e -= e.max(axis=1, keepdims=True)
+            np.exp(e, out=e)
+            total = e.sum(axis=1)
+        return e, total
+
     def log_probs(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> np.ndarray:
         """Natural log probability of each target after its state. With ``grads``, adds gradients of the mean loss to it,
         and under "states" those with respect to the states."""
-        m = targets.size
+        m, tiny = targets.size, np.float32(1e-38)
+        states = np.concatenate([states, np.ones((m, 1), np.float32)], axis=1)
         cls = targets // self.group
-        logits = states @ self.p["c"].T
-        logits += self.p["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        lp = logits[np.arange(m), cls] - np.log(total)
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        order = np.argsort(cls.astype(np.int16), kind="stable")
+        states, cls, within = states[order], cls[order], (targets - cls * self.group)[order]
+        rows = np.arange(m)
+        e, total = self.softmax(states, self.p["c"])
+        own = np.log(np.maximum(e[rows, cls] / total, tiny))
         if grads is not None:
-            d = e / total[:, None]
-            d[np.arange(m), cls] -= 1
-            d /= m
-            grads["c"], grads["cb"], back = d.T @ states, d.sum(axis=0), d @ self.p["c"]
-            grads["o"], grads["ob"] = {}, {}
-        for k in range(self.classes):
-            at = order[cuts[k]:cuts[k + 1]]
-            if not at.size:
-                continue
-            s, w = states[at], targets[at] - k * self.group
-            logits = s @ self.p["o"][k].T
-            logits += self.p["ob"][k]
-            logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(axis=1)
-            rows = np.arange(at.size)
-            lp[at] += logits[rows, w] - np.log(total)
+            e *= (1 / (m * total))[:, None]
+            e[rows, cls] -= np.float32(1 / m)
+            grads["c"], back, grads["o"] = e.T @ states, e @ self.p["c"][:, :-1], {}
+        cuts = np.searchsorted(cls, np.arange(self.classes + 1))
+        for k in np.flatnonzero(np.diff(cuts)):
+            a, b = cuts[k], cuts[k + 1]
+            s, w, r = states[a:b], within[a:b], rows[:b - a]
+            e, total = self.softmax(s, self.p["o"][k])
+            own[a:b] += np.log(np.maximum(e[r, w] / total, tiny))
             if grads is not None:
-                d = e / total[:, None]
-                d[rows, w] -= 1
-                d /= m
-                grads["o"][k], grads["ob"][k] = d.T @ s, d.sum(axis=0)
-                back[at] += d @ self.p["o"][k]
+                e *= (1 / (m * total))[:, None]
+                e[r, w] -= np.float32(1 / m)
+                grads["o"][int(k)] = e.T @ s
+                back[a:b] += e @ self.p["o"][k][:, :-1]
+        lp = np.empty(m, own.dtype)
+        lp[order] = own
         if grads is not None:
-            grads["states"] = back
+            grads["states"] = np.empty_like(back)
+            grads["states"][order] = back
         return lp
 
     def backward(self, tokens: np.ndarray, fresh: np.ndarray, keep: list, back: np.ndarray, grads: dict) -> None:
@@ -111,14 +125,21 @@ class Gru:
         for t in range(steps - 1, -1, -1):
             h, z, r, new, hn = keep[t]
             dh = dh + back[t]
-            dnew = dh * (1 - z) * (1 - new * new)
-            dx[t, :, :n] = dh * (h - new) * z * (1 - z)
-            dx[t, :, n:2 * n] = dnew * hn * r * (1 - r)
+            rest = 1 - z
+            dnew = dh * rest
+            dnew *= 1 - new * new
+            dz, dr = dx[t, :, :n], dx[t, :, n:2 * n]
+            np.multiply(dh, h - new, out=dz)
+            dz *= z
+            dz *= rest
+            np.multiply(dnew, r, out=dhu[t, :, 2 * n:])
+            np.multiply(dhu[t, :, 2 * n:], hn, out=dr)
+            dr *= 1 - r
             dx[t, :, 2 * n:] = dnew
             dhu[t, :, :2 * n] = dx[t, :, :2 * n]
-            dhu[t, :, 2 * n:] = dnew * r
             before[t] = h
-            dh = dh * z + dhu[t] @ u.T
+            dh *= z
+            dh += dhu[t] @ u.T
             if fresh[t].any():
                 dh[fresh[t]] = 0
         grads["u"] = before.reshape(-1, n).T @ dhu.reshape(-1, 3 * n)
@@ -183,9 +204,9 @@ class Gru:
         rank = np.argsort(-length, kind="stable")
         member, length = [member[k] for k in rank], length[rank]
         steps = int(length[0]) if lanes else 0
-        streams = [np.concatenate([docs[d] for d in m]) if m else np.zeros(0, np.int64) for m in member]
-        befores = [np.concatenate([np.concatenate([[START], docs[d][:-1]]) for d in m]) if m else np.zeros(0, np.int64) for m in member]
-        owners = [np.repeat(m, sizes[m]) if m else np.zeros(0, np.int64) for m in member]
+        streams = [np.concatenate([docs[d] for d in m]) if m else np.zeros(0, np.int32) for m in member]
+        befores = [np.concatenate([np.concatenate([np.array([START], np.int32), docs[d][:-1]]) for d in m]) if m else np.zeros(0, np.int32) for m in member]
+        owners = [np.repeat(np.array(m, np.int32), sizes[m]) if m else np.zeros(0, np.int32) for m in member]
         total, h = np.zeros(len(docs)), np.zeros((lanes, self.hidden), np.float32)
         for a in range(0, steps, WINDOW):
             live = int((length > a).sum())

@@ -31,12 +31,14 @@ from cohortlake.llm.common import remainder, slices, texts, words_of, written
 from cohortlake.llm.gru import END, OTHER, Gru
 
 FOLDS, HELD_OUT = 7, 2
-FREQUENT = 1 << 18
-VOCABULARY = 8190
+FREQUENT = 1 << 17
+VOCABULARY = 2068
 ROUNDS = 3
 RATE = 0.1
-#: Bytes of text that a task trains on or scores at once, so that lanes are full.
-AT_ONCE = 12 << 20
+#: Bytes of text that a task reads or trains on at once.
+AT_ONCE = 4 << 20
+#: Tokens that are scored together.
+TOGETHER = 1 << 22
 #: Parameters in a row, and rows that are averaged by one call.
 PART, FAN_IN = 1 << 14, 64
 
@@ -162,7 +164,6 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
     base_of = words.tokens + words.distinct + 1
     others_of = sum(words.others) + 1
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest"]
-    rest = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def run(batches):
         known, gru = sent.value
@@ -170,21 +171,36 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
         other = np.log10((known.counts + 1) / others_of)
         other[:VOCABULARY] = 0
         end = np.log10((known.docs + 1) / base_of)
+        held, docs, tokens = [], [], 0
+
+        def flush():
+            # many documents at once, so that long ones run side by side
+            total, at = gru.score(docs) / np.log(10), 0
+            for columns, score in held:
+                yield pa.RecordBatch.from_arrays([*columns[:-1], pa.array(score + total[at:at + score.size]), columns[-1]], names)
+                at += score.size
+
         for batch in chunks(batches):
             bags = [words_of(t, lower=True) for t in texts(batch.column("text"))]
             ranks = known.ranks([w for b in bags for w in b])
             n = np.array([len(b) for b in bags])
             ends = np.cumsum(n)
-            ids = known.ids(ranks)
-            total = gru.score([np.append(ids[e - k:e], END) for k, e in zip(n, ends)]) / np.log(10)
+            ids = known.ids(ranks).astype(np.int32)
+            docs += [np.append(ids[e - k:e], np.int32(END)) for k, e in zip(n, ends)]
             doc = np.repeat(np.arange(n.size), n)[ranks >= 0]
             ranks_in = ranks[ranks >= 0]
-            sums = lambda v: np.bincount(doc, v[ranks_in], n.size)
-            left = [list(Counter(w for w, r in zip(b, ranks[e - len(b):e]) if r < 0).items()) for b, e in zip(bags, ends)]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("held_out"), pa.array(n + 1), pa.array(np.bincount(doc, minlength=n.size) + (known.docs > 0)),
-                pa.array(sums(base) + end), pa.array(total + sums(other)),
-                pa.array([[{"word": w, "n": k} for w, k in x] for x in left], rest)], names)
+            sums = lambda v: np.bincount(doc, v[ranks_in], n.size)  # noqa: B023, E731
+            left = [list(Counter(w for w, r in zip(b, ranks[e - len(b):e].tolist()) if r < 0).items()) for b, e in zip(bags, ends)]
+            flat = [x for own in left for x in own]
+            items = pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.binary()), pa.array([k for _, k in flat], pa.int64())], ["word", "n"])
+            rest = pa.ListArray.from_arrays(np.cumsum([0, *map(len, left)]).astype(np.int32), items)
+            held.append(([batch.column("doc_id"), batch.column("held_out"), pa.array(n + 1), pa.array(np.bincount(doc, minlength=n.size) + (known.docs > 0)), pa.array(sums(base) + end), rest], sums(other)))
+            tokens += int(n.sum())
+            if tokens > TOGETHER:
+                yield from flush()
+                held, docs, tokens = [], [], 0
+        if held:
+            yield from flush()
     scored = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<struct<word:binary,n:bigint>>")
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     # the words that are not among the frequent ones
