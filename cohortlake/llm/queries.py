@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlake.llm import bpe, decontamination, host_rules, lm, ngram_join, substring, token_files, toxicity
+from cohortlake.llm import bpe, decontamination, host_rules, lm, ngram_join, substring, token_counts, token_files, toxicity, warc
 from cohortlake.llm.common import frame_of
 
 QUERIES, ORACLES = {}, {}
@@ -44,6 +44,30 @@ def decontaminate(spark, sf_dir):
     return decontamination.contamination(frame_of(spark, sf_dir, "documents"), frame_of(spark, sf_dir, "benchmark"))
 
 
+REVISITS_SQL = r"""
+with c as (select page_id * 3 + k as record_id, url, page_id + k * 604800 as fetched, k, html, case when k < 2 then md5(html) end as etag, 'lm ' || length(html) as lm,
+                  regexp_replace(regexp_replace(trim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '#.*$', '') as bare from pages, (select unnest([0, 1, 2]) as k)),
+d as (select *, split_part(bare, '?', 1) as place, case when contains(bare, '?') then substr(bare, length(split_part(bare, '?', 1)) + 2) else '' end as given from c),
+e as (select *, list_sort(list_filter(string_split(given, '&'), lambda p: p <> '' and not regexp_matches(lower(p), '^(utm_[a-z]+|ref|fbclid|gclid|session(id)?)='))) as kept from d),
+f as (select *, regexp_replace(regexp_replace(regexp_replace(lower(split_part(place, '/', 1)), '^[^@]*@', ''), ':(80|443)$', ''), '^www[.]', '')
+             || regexp_replace(substr(place, length(split_part(place, '/', 1)) + 1), '/+$', '') || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end as key from e),
+j as (select r.record_id, r.key, r.k, r.fetched, r.etag, r.lm, t.record_id as target_id, t.fetched as t_fetched, t.etag as t_etag, t.lm as t_lm, t.html as t_html,
+             row_number() over (partition by r.record_id order by t.fetched desc, t.record_id desc) as n
+      from f r left join f t on t.key = r.key and t.k = 0 and (t.fetched < r.fetched or (t.fetched = r.fetched and t.record_id < r.record_id)) where r.k > 0),
+s as (select *, case when target_id is null then 'orphan' when etag is not null and t_etag is not null then case when etag = t_etag then 'resolved' else 'mismatch' end
+                     when lm is not null and t_lm is not null then case when lm = t_lm then 'resolved' else 'mismatch' end else 'unverified' end as status from j where n = 1)
+select record_id, key as canonical_url, status, target_id, fetched - t_fetched as age,
+       case when status = 'resolved' then 'content-type=text/html;date=day ' || k || ';server=s0' end as headers, case when status = 'resolved' then md5(t_html) end as body_md5 from s
+"""
+
+
+@register("op6_revisits", REVISITS_SQL)
+def revisits(spark, sf_dir):
+    found = warc.resolve(warc.captures_of(frame_of(spark, sf_dir, "pages")))
+    headers = F.array_join(F.sort_array(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return found.select("record_id", "canonical_url", "status", "target_id", "age", headers.alias("headers"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
 @register("op7_token_files")
 def token_file(spark, sf_dir):
     return token_files.read(token_files.write(frame_of(spark, sf_dir, "documents")))
@@ -80,3 +104,8 @@ def host_rule(spark, sf_dir):
 @register("op10_lm_scoring")
 def language_model(spark, sf_dir):
     return lm.score(frame_of(spark, sf_dir, "documents"))
+
+
+@register("op9_token_counts")
+def token_count(spark, sf_dir):
+    return token_counts.count_tokens(frame_of(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")

@@ -62,7 +62,7 @@ def latest_before(captures: DataFrame, slices: int) -> DataFrame:
     return revisits.join(far, ["key", "cut"], "left").withColumn("target", F.coalesce("near", "far")).drop("near", "far", "cut", "is_response")
 
 
-def status(own: str = "", of: str = "target") -> Column:
+def status(of: str = "target") -> Column:
     tag = lambda c: F.regexp_replace(F.trim(c), "^W/", "")
     tags = F.col(f"{of}.etag").isNotNull() & F.col("etag").isNotNull()
     dates = F.col(f"{of}.last_modified").isNotNull() & F.col("last_modified").isNotNull()
@@ -96,9 +96,9 @@ def resolve(captures: DataFrame, slices: int = SLICES) -> DataFrame:
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
-    """Captures from a table of pages (page_id, url, html), three crawls of each: a page is fetched in full, and asked for again
-    twice. The tag that the crawler sent is that of the page's first half, so that it holds for pages which have kept it;
-    every fetch has its page's id as date, a week between crawls."""
+    """Captures from a table of pages (page_id, url, html): each page is fetched in full and revisited twice, one and two weeks
+    later, once by its tag and once by its modification date. Pages of one canonical URL are versions of one resource, so that
+    revisits of all but the latest don't match."""
     tag = F.md5(F.col("html").cast("binary"))
     crawl = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("crawl")
     rows = pages.select("page_id", "url", "html", crawl)
