@@ -8,8 +8,8 @@ that step and word. Walks over two sequences meet again after an edit, so that f
 differences. A walk of 2L steps covers some L words. Items are grouped by length in [L, 2L), up to ``SEGMENT``; longer ones
 are cut into segments of that many words, of which one at least has no more than its share of edits. Every word of
 a document starts a window, walked for as many steps as the group's. Per walk, ``TABLES`` samples of ``SAMPLED`` steps
-are hashed; a window that agrees with an item in one of them is a candidate, and counts if its exact edit distance
-(free ends on the document's side) is low enough. ``WALKS`` * ``TABLES`` repetitions reach the recall measured in the tests.
+are hashed; a window that agrees with an item in one of them, and in a share ``AGREE`` of all steps of one walk, is a
+candidate, and counts if its exact edit distance (free ends on the document's side) is low enough. ``WALKS`` * ``TABLES`` repetitions reach the recall measured in the tests.
 
 Items are handled in blocks of at most ``AT_ONCE`` words, each broadcast and matched with all documents, so no bound on
 their number is assumed. Documents never move.
@@ -34,6 +34,8 @@ SEGMENT = 32
 WALKS = 3
 TABLES = 8
 SAMPLED = 3
+#: Least share of steps at which a candidate's embedding must agree with the item's, far below that of true pairs.
+AGREE = 0.08
 AT_ONCE = 1 << 22
 STEP = 1 << 15  # windows that are walked together
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -50,7 +52,9 @@ def samples(low: int) -> list[list[np.ndarray]]:
     """Per walk and table, the steps that are sampled for the group of items from ``low`` words on."""
     rng = np.random.default_rng(low)
     n = min(SAMPLED, 2 * low)
-    return [[np.sort(rng.choice(2 * low, n, replace=False)) for _ in range(TABLES)] for _ in range(WALKS)]
+    # one step of each of n stretches: neighbouring steps often show the same word
+    edges = np.linspace(0, 2 * low, n + 1).astype(int)
+    return [[np.array([rng.integers(a, b) for a, b in zip(edges, edges[1:])]) for _ in range(TABLES)] for _ in range(WALKS)]
 
 
 def moves(h: np.ndarray, walk: int) -> np.ndarray:
@@ -83,6 +87,15 @@ def hashes(h: np.ndarray, starts: np.ndarray, lows: list[int]) -> dict[tuple[int
     return out
 
 
+def embedding(h: np.ndarray, starts: np.ndarray, walk: int, steps: int) -> np.ndarray:
+    """The words that the walk from each start shows, [start, step]."""
+    out, at, bits = np.empty((starts.size, steps), np.uint64), starts.copy(), moves(h, walk)
+    for step in range(steps):
+        out[:, step] = h[at]
+        at += ((bits[at] >> np.uint64(step)) & np.uint64(1)).astype(np.int64)
+    return out
+
+
 _PLACES = mix64(np.arange(101, 101 + SAMPLED, dtype=np.uint64)) | np.uint64(1)
 _TOP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,7 +112,7 @@ class Index:
                     low = min(SEGMENT, 1 << (int(h.size).bit_length() - 1))
                     segments.setdefault(low, []).append((k, at))
         self.lows = sorted(segments)
-        self.tables = {}
+        self.tables, self.shown, self.segments = {}, {}, {}
         for low, own in segments.items():
             # what follows a segment in its item follows it here too, as it does in a document
             h = np.concatenate([np.concatenate([items[k][1][at:at + 2 * SEGMENT], np.zeros(max(0, 2 * SEGMENT - (items[k][1].size - at)), np.uint64)]) for k, at in own])
@@ -108,11 +121,14 @@ class Index:
                 order = np.argsort(sig, kind="stable")
                 hit = np.zeros(1 << 16, bool)
                 hit[((sig * _TOP) >> np.uint64(48)).astype(np.int64)] = True
-                self.tables[low, walk, table] = hit, sig[order], np.array(own, np.int64)[order]
+                self.tables[low, walk, table] = hit, sig[order], order
+            for walk in range(WALKS):
+                self.shown[low, walk] = embedding(h, np.arange(len(own)) * 2 * SEGMENT, walk, 2 * low)
+            self.segments[low] = np.array(own, np.int64)
 
     def candidates(self, h: np.ndarray, count: int) -> np.ndarray:
         """Rows (start, item, offset) for the windows from the first ``count`` words."""
-        found = []
+        found: dict[int, list[np.ndarray]] = {}
         for a in range(0, count, STEP):
             b = min(a + STEP, count)
             part = h[a:b + 2 * SEGMENT + 1]
@@ -123,8 +139,23 @@ class Index:
                 maybe, lo, n = maybe[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
                 if maybe.size:
                     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-                    found.append(np.column_stack([np.repeat(maybe + a, n), own[at]]))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+                    found.setdefault(key[0], []).append(np.repeat(maybe + a, n) << 32 | own[at])
+        out = []
+        for low, parts in found.items():
+            pairs = np.unique(np.concatenate(parts))
+            start, segment = pairs >> 32, pairs & 0xFFFFFFFF
+            for a in range(0, pairs.size, STEP):
+                own, seg = start[a:a + STEP], segment[a:a + STEP]
+                # only the words around these windows take part
+                span = np.arange(2 * SEGMENT + 1)
+                near = h[own[:, None] + span]
+                alike = np.zeros(own.size, np.int64)
+                for walk in range(WALKS):
+                    shown = embedding(near.ravel(), np.arange(own.size) * span.size, walk, 2 * low)
+                    alike = np.maximum(alike, (shown == self.shown[low, walk][seg]).sum(axis=1))
+                keep = alike >= AGREE * 2 * low
+                out.append(np.column_stack([own[keep], self.segments[low][seg[keep]]]))
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
 
 # -- verification ----------------------------------------------------------------------------------------------------
