@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -87,8 +89,9 @@ def frame_of(spark, sf_dir: str, table: str) -> DataFrame:
 
 
 def release(spark) -> None:
-    """Shuffle files of frames that are out of reach go once the JVM has collected them."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Shuffle files of frames that are out of reach go once the JVM has collected them, which takes two turns: one that
+    finds what Python has let go, one for what that held."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
