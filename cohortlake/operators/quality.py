@@ -34,10 +34,6 @@ def data_quality(files: DataFrame, checks: DataFrame) -> DataFrame:
         *CATEGORIES, rows.getField("rejected").alias("rejected"))
 
 
-def recent_runs(runs: DataFrame, n: int = 20) -> DataFrame:
-    return runs.orderBy(F.desc("RunID")).limit(n)
-
-
-def last_good_run(runs: DataFrame, n: int = 20) -> DataFrame:
-    """The newest successful run among the recent ones."""
-    return recent_runs(runs, n).where(F.col("Status") == "SUCCESS").orderBy(F.desc("RunID")).limit(1)
+def last_good_run(runs: DataFrame) -> DataFrame:
+    """The newest successful run, however many failed since."""
+    return runs.where(F.col("Status") == "SUCCESS").orderBy(F.desc("RunID")).limit(1)

@@ -1,5 +1,7 @@
 """Data behind pages and question-answering tools: rankings, searches, scoped views, composed reports."""
 
+import uuid
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlake import settings as S
@@ -38,8 +40,9 @@ def bottom_k_gap(courses: DataFrame, k: int = 8, floor: int = S.DEFAULTS.min_enr
         "Gap", -F.col("ExamGap"))
 
 
-def risk_search(table: DataFrame, levels=None, faculties=None, text: str | None = None, limit: int = 500) -> DataFrame:
-    """By level and faculty, or by text (part of name or group, or the exact id), which replaces them."""
+def risk_search(table: DataFrame, levels=None, faculties=None, text: str | None = None, limit: int | None = None) -> DataFrame:
+    """By level and faculty, or by text (part of name or group, or the exact id), which replaces them. All rows that
+    match, riskiest first, or the first ``limit`` of them."""
     text = (text or "").strip()
     if text:
         hit = (contains(F.col("FullName"), text) | contains(F.col("GroupName"), text)
@@ -50,7 +53,9 @@ def risk_search(table: DataFrame, levels=None, faculties=None, text: str | None
             hit = hit & F.col("RiskLevel").isin(*levels)
         if faculties:
             hit = hit & F.col("FacultyName").isin(*faculties)
-    return ordered_top(table.where(hit), limit, F.desc("RiskProbability"), F.asc("StudentKey"))
+    order = [F.desc("RiskProbability"), F.asc("StudentKey")]
+    found = table.where(hit)
+    return found.orderBy(*order) if limit is None else ordered_top(found, limit, *order)
 
 
 def untouched_only(table: DataFrame, log: DataFrame) -> DataFrame:
@@ -174,15 +179,13 @@ def latest_grades(grades: DataFrame) -> DataFrame:
 
 
 def top_risk(table: DataFrame, limit: int = 20) -> DataFrame:
-    """The riskiest students; between 1 and 50 of them."""
-    k = min(max(limit or 20, 1), 50)
-    return ordered_top(table, k, F.desc("RiskProbability"), F.asc("StudentKey"))
+    """The ``limit`` riskiest students."""
+    return ordered_top(table, limit, F.desc("RiskProbability"), F.asc("StudentKey"))
 
 
 def find_students(students: DataFrame, text: str, limit: int = 20) -> DataFrame:
-    """Students whose name contains the text."""
-    k = min(max(limit or 20, 1), 50)
-    return students.where(contains(F.col("FullName"), text)).orderBy("StudentKey").limit(k).select(
+    """The first ``limit`` students, by key, whose name contains the text."""
+    return students.where(contains(F.col("FullName"), text)).orderBy("StudentKey").limit(limit).select(
         "StudentKey", "FullName", "FacultyKey", "StudyYear", "Status")
 
 
@@ -209,14 +212,14 @@ def course_history(courses: DataFrame, semesters: DataFrame, text: str) -> DataF
 
 
 def hardest_courses(courses: DataFrame, k: int = 10, limits: S.Thresholds = S.DEFAULTS) -> DataFrame:
-    """Courses with the highest failure rate among those of sufficient size; at most 30."""
-    return top_k(courses, "FailureRate", "CourseKey", min(k or 10, 30), "Enrollment", limits.min_enrollment)
+    """The k courses with the highest failure rate among those of sufficient size."""
+    return top_k(courses, "FailureRate", "CourseKey", k, "Enrollment", limits.min_enrollment)
 
 
 def exam_report(rates: DataFrame, by: str, key: str, limit: int = 15, limits: S.Thresholds = S.DEFAULTS) -> DataFrame:
-    """Exam rates of sufficiently large entities by failure rate; at most 40 rows."""
+    """Exam rates of the ``limit`` sufficiently large entities with the highest failure rate."""
     floor = limits.min_group if by == "group" else limits.min_enrollment
-    return top_k(rates, "FailureRate", key, min(limit or 15, 40), "N", floor)
+    return top_k(rates, "FailureRate", key, limit, "N", floor)
 
 
 def prediction_report(risk: DataFrame, comparison: DataFrame) -> dict[str, DataFrame]:
@@ -227,23 +230,67 @@ def prediction_report(risk: DataFrame, comparison: DataFrame) -> dict[str, DataF
             "model": comparison.where((F.col("IsBest") == 1) & (F.col("Split") == "test") & (F.col("Rule") == "recall target"))}
 
 
-def capped_query(spark, tables: dict[str, DataFrame], sql: str, cap: int = S.QUERY_ROW_CAP):
-    """Run one SELECT over published tables; returns at most ``cap`` rows and whether more exist.
-
-    Only what Spark's own parser accepts as a single query gets through: the text is wrapped as a
-    subquery, so commands and several statements are syntax errors.
+def relations_of(spark, sql: str) -> list[list[str]]:
+    """The names of all tables that a query reads, subqueries included; names that the query itself defines are left out.
+
+    Spark's own parser gives the unresolved plan; reading a function or a plan with a command in it raises."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parseQuery(sql)
+    found, todo = [], [(plan, frozenset())]
+
+    def items(seq):
+        return [seq.apply(i) for i in range(seq.size())]
+    while todo:
+        node, own = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedWith":
+            own = own | {items(r.productIterator().toSeq())[0].lower() for r in items(node.cteRelations())}
+        if kind == "UnresolvedRelation":
+            name = items(node.multipartIdentifier())
+            if not (len(name) == 1 and name[0].lower() in own):
+                found.append(name)
+        elif "TableValuedFunction" in kind or "Command" in kind or "Insert" in kind:
+            raise ValueError(f"{kind} is not allowed")
+        for seq in (node.children(), node.innerChildren(), node.subqueries()):
+            for child in items(seq):
+                if hasattr(child, "subqueries"):
+                    todo.append((child, own))
+    return found
+
+
+def capped_query(spark, tables: dict[str, DataFrame], sql: str, cap: int | None = None) -> DataFrame:
+    """One SELECT over published tables. With a ``cap``, at most so many rows; the column truncated says whether there
+    are more. The result is lazy.
+
+    Only the given names can be read: the parsed query's relations are checked, so paths, other views, catalog tables
+    and table functions raise. Tables are bound under names of this call alone, so no view of the session is replaced.
     """
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
     body = sql.strip().rstrip(";").strip()
     if "--" in body or "/*" in body:
         raise ValueError("comments are not allowed")
     try:
-        df = spark.sql(f"SELECT * FROM (\n{body}\n) LIMIT {cap + 1}")
+        names = relations_of(spark, body)
+    except Exception as exc:
+        raise ValueError(f"only one SELECT over the published tables is allowed: {exc}") from exc
+    known = {n.lower() for n in tables}
+    for name in names:
+        if len(name) != 1 or name[0].lower() not in known:
+            raise ValueError(f"{'.'.join(name)} is not a published table")
+    views = {name: f"published_{uuid.uuid4().hex}" for name in tables}
+    for name, view in views.items():
+        tables[name].createOrReplaceTempView(view)
+    bound = ", ".join(f"`{name}` AS (SELECT * FROM {view})" for name, view in views.items())
+    try:
+        found = spark.sql(f"WITH {bound} SELECT * FROM (\n{body}\n)")
     except Exception as exc:
         raise ValueError(f"only one SELECT over the published tables is allowed: {exc}") from exc
-    rows = df.collect()
-    return spark.createDataFrame(rows[:cap], df.schema), len(rows) > cap
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
+    if cap is None:
+        return found.withColumn("truncated", F.lit(False))
+    # the window is over the rows of the cap and one more
+    some = found.limit(cap + 1).withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy()) > cap)
+    return some.limit(cap)
 
 
 def round_records(df: DataFrame, digits: int = 3) -> DataFrame:

@@ -271,7 +271,7 @@ def _(u):
     return Q.quality_by_table(C.file_counts(cleaned), C.quality_log(cleaned))
 
 
-@register("last_good_run", query("""SELECT RunID, Status FROM (SELECT RunID, arg_max(Status, happened) AS Status FROM r GROUP BY 1 ORDER BY RunID DESC LIMIT 20)
+@register("last_good_run", query("""SELECT RunID, Status FROM (SELECT RunID, arg_max(Status, happened) AS Status FROM r GROUP BY 1)
 WHERE Status = 'SUCCESS' ORDER BY RunID DESC LIMIT 1""", extra={"r": RUNS}))
 def _(u):
     return Q.last_good_run(C.run_log(run_events(u))).select("RunID", "Status")

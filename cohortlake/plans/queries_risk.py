@@ -143,10 +143,10 @@ def _importance_sql(repeats: int):
         "a1": auc.format(k="Feature, Seed,", g="Feature, Seed", src="var")})
 
 
-@register("permutation_importance", _importance_sql(2), gold=True)
+@register("permutation_importance", _importance_sql(5), gold=True)
 def _(u):
     test = split_rows(u).where(F.col("Split") == "test")
-    return E.permutation_importance(test, linear_scorer, repeats=2, order=mixing_order).withColumn(
+    return E.permutation_importance(test, linear_scorer, order=mixing_order).withColumn(
         "Importance", F.round("Importance", 9))
 
 

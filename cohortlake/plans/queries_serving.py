@@ -199,7 +199,7 @@ def _(u):
     return short(D.top_risk(M.risk_rows(u)))
 
 
-@register("find_students", query("SELECT StudentKey, FullName, FacultyKey, StudyYear, Status FROM students WHERE contains(lower(FullName), '0012') ORDER BY StudentKey LIMIT 50", "students"))
+@register("find_students", query("SELECT StudentKey, FullName, FacultyKey, StudyYear, Status FROM students WHERE contains(lower(FullName), '0012') ORDER BY StudentKey LIMIT 200", "students"))
 def _(u):
     return D.find_students(u.students, "0012", 200)
 
@@ -216,7 +216,7 @@ def _(u):
 
 
 @register("exam_report_teachers", query(f"SELECT * FROM (SELECT TeacherKey, {', '.join(EXAM_COLS)}, {RATES} FROM (SELECT TeacherKey, {RESUM} FROM course_sem GROUP BY 1)) WHERE N >= 30 "
-                                        "ORDER BY FailureRate DESC, TeacherKey LIMIT 40", "course_sem"), gold=True)
+                                        "ORDER BY FailureRate DESC, TeacherKey LIMIT 60", "course_sem"), gold=True)
 def _(u):
     return D.exam_report(exams.exam_by(u.course_sem, "teacher"), "teacher", "TeacherKey", 60, LIMITS)
 
@@ -228,8 +228,7 @@ def _(u):
 
 @register("capped_query", query("SELECT * FROM (SELECT FacultyKey, count(*) AS Students FROM students GROUP BY 1), (SELECT false AS truncated)", "students"))
 def _(u):
-    rows, more = D.capped_query(u.spark, {"published_students": u.students}, "SELECT FacultyKey, count(*) AS Students FROM published_students GROUP BY FacultyKey")
-    return rows.withColumn("truncated", F.lit(more))
+    return D.capped_query(u.spark, {"published_students": u.students}, "SELECT FacultyKey, count(*) AS Students FROM published_students GROUP BY FacultyKey", 200)
 
 
 @register("round_records", query("SELECT StudentKey, round_even(TotalDebt, 1) AS TotalDebt FROM (SELECT StudentKey, sum(RemainingDebt)::DOUBLE AS TotalDebt FROM payments GROUP BY 1)", "payments"))
@@ -263,7 +262,7 @@ def _pivot_sql():
 
 @register("profile_pivot", _pivot_sql())
 def _(u):
-    return D.profile_pivot(u.scored_lines, u.students, list(range(5)))
+    return D.profile_pivot(u.scored_lines, u.students, [r[0] for r in u.faculties.select("FacultyKey").orderBy("FacultyKey").collect()])
 
 
 @register("profile_teacher_load", query("""SELECT count(*) AS Count, sum(c)::DOUBLE / count(*) AS Mean, min(c) AS Min, quantile_cont(c, 0.25) AS Q1, median(c) AS Median,

@@ -146,9 +146,9 @@ class Refresh:
     def append(self, name: str, rows: DataFrame) -> None:
         ST.replace_table(self.table(name).unionByName(rows.select(*self.table(name).columns)), f"{self.root}/{name}")
 
-    def event(self, status: str, message: str, totals=None) -> None:
+    def event(self, status: str, message: str, totals=None, run_id: int | None = None) -> None:
         row = self.spark.range(1).select(
-            F.lit(self.run_id).alias("RunID"), F.current_timestamp().alias("At"), F.lit(status).alias("Status"),
+            F.lit(run_id or self.run_id).alias("RunID"), F.current_timestamp().alias("At"), F.lit(status).alias("Status"),
             F.lit(message).alias("Message"), *[F.lit(totals[c] if totals else None).cast("long").alias(c) for c in (
                 "FilesProcessed", "RowsRead", "RowsLoaded", "RowsRejected")])
         self.append("RunEvents", row)
@@ -162,11 +162,11 @@ class Refresh:
                 parts.append(reader(self.spark, paths, spec.columns))
         return reduce(DataFrame.unionByName, parts) if parts else None
 
-    def stage(self, full: bool) -> tuple[dict[str, DataFrame], DataFrame | None]:
-        """Clean all new or changed files; returns staged frames and the per-file counts."""
+    def stage(self, full: bool) -> tuple[dict[str, DataFrame], list[tuple[TableSpec, C.Cleaned, DataFrame]]]:
+        """Clean all new or changed files; returns staged frames, and what is logged once they are in the warehouse."""
         hashes = SF.changed_files(SF.file_hashes(self.spark, self.delivered), self.table("FileLog"), full)
         todo = written(hashes.select("FileName", "FileHash"), "todo")
-        staged, keys, counts = {}, {}, []
+        staged, cleanings = {}, []
         for spec in SPECS:
             found = SF.discover(self.spark, self.delivered, spec.name).join(todo, "FileName", "left_semi")
             raw = self.read(spec, [r[0] for r in found.select("FileName").collect()])
@@ -175,8 +175,8 @@ class Refresh:
                 cleaned = C.clean(raw, spec, parents, keep=written)
                 cleaned.rows = written(cleaned.rows, f"{spec.name}-checked")
                 staged[spec.name] = written(C.merge_parts(cleaned.good(), spec.pk), f"stg-{spec.name}")
-                counts.append(self.log_files(spec, cleaned, todo))
-        return staged, (reduce(DataFrame.unionByName, counts) if counts else None)
+                cleanings.append((spec, cleaned, todo))
+        return staged, cleanings
 
     def parent_keys(self, parent: str, staged: dict[str, DataFrame]) -> DataFrame:
         """Keys in the warehouse and keys staged in this run."""
@@ -244,11 +244,28 @@ class Refresh:
                         V.grade_agrees(grades), V.amounts_add_up(self.table("FactPayments")), V.snapshot_covers(snap, grades),
                         V.snapshot_complete(snap))
 
+    def close_interrupted(self) -> None:
+        """Runs that were still running when their process ended are failed ones."""
+        last = self.table("RunEvents").groupBy("RunID").agg(F.max_by("Status", "At").alias("Status"))
+        for row in last.where("Status = 'RUNNING'").orderBy("RunID").collect():
+            self.event("FAILED", "interrupted", run_id=row["RunID"])
+
     def run(self, full: bool = False) -> dict:
+        """Files count as seen only when their rows are in the warehouse: a run that fails before leaves them to the next."""
+        self.close_interrupted()
         self.event("RUNNING", "")
-        staged, counts = self.stage(full)
+        try:
+            return self.refresh(full)
+        except Exception as exc:
+            self.event("FAILED", f"{type(exc).__name__}: {exc}")
+            raise
+
+    def refresh(self, full: bool) -> dict:
+        staged, cleanings = self.stage(full)
         self.load_dimensions(staged)
         self.load_facts(staged)
+        logged = [self.log_files(*cleaning) for cleaning in cleanings]
+        counts = reduce(DataFrame.unionByName, logged) if logged else None
         totals = C.totals(counts).first().asDict() if counts is not None else dict.fromkeys(
             ("FilesProcessed", "RowsRead", "RowsLoaded", "RowsRejected"), 0)
         result = V.run_status(self.check(self.build_snapshot())).first()

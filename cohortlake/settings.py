@@ -85,7 +85,6 @@ FACT_DATES = ("2022-01-01", "2033-08-31")
 FIRST_ACADEMIC_YEAR, ACADEMIC_YEARS = 2022, 11
 LAST_STUDY_SEMESTER = 8
 REJECT_SAMPLE = 300
-QUERY_ROW_CAP = 200
 OUTLIER_K = 6.0
 MAD_SCALE = 1.4826
 # -----------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortlake import settings as S
 from cohortlake.operators import cleaning as C
 from cohortlake.operators.quality import data_quality
+from cohortlake.sources import tables as ST
 from cohortlake.plans.university import SPECS, Refresh
 from cohortlake.sources import files as SF
 from cohortlake.streaming.incremental import clean_new_files
@@ -111,6 +112,27 @@ def test_second_load_changes_nothing(spark, delivered, loaded):
     assert (sums[0], sums[1], sums[2]) == (0, 0, 11)
 
 
+def test_failed_run_leaves_its_files_to_the_next(spark, delivered, loaded, tmp_path, monkeypatch):
+    root = str(tmp_path / "warehouse")
+
+    def broken(self, staged):
+        raise RuntimeError("no space")
+    with monkeypatch.context() as m:
+        m.setattr(Refresh, "load_facts", broken)
+        with pytest.raises(RuntimeError):
+            Refresh(spark, str(delivered), root).run()
+    stopped = Refresh(spark, str(delivered), root)
+    assert [tuple(r) for r in stopped.table("RunEvents").where("Status = 'FAILED'").select("RunID", "Message").collect()] == [(1, "RuntimeError: no space")]
+    stopped.event("RUNNING", "")                                         # a run whose process was killed
+    result = Refresh(spark, str(delivered), root).run()
+    assert (result["run_id"], result["status"], result["FilesProcessed"]) == (3, "SUCCESS", 11)
+    closed = Refresh(spark, "", root).table("RunEvents").where("RunID = 2 AND Status = 'FAILED'")
+    assert closed.first()["Message"] == "interrupted"
+    for name in ("DimStudent", "FactGrades", "FactAttendance", "FactStudentSemester"):
+        mine, clean = (Refresh(spark, "", r).table(name) if name != "FactStudentSemester" else ST.read_table(spark, f"{r}/{name}") for r in (root, loaded[0]))
+        assert sorted(map(repr, mine.collect())) == sorted(map(repr, clean.select(*mine.columns).collect()))
+
+
 def test_quality_report(spark, loaded):
     job = Refresh(spark, "", loaded[0])
     row = data_quality(job.table("FileLog"), job.table("DataQualityLog")).first()

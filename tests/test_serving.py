@@ -21,11 +21,37 @@ def test_only_one_select_is_accepted(spark, people, sql):
         D.capped_query(spark, {"people": people}, sql)
 
 
+@pytest.mark.parametrize("sql", [
+    "SELECT * FROM parquet.`/root/testdata/sf0.001/orders.parquet`", "SELECT * FROM staff_notes", "SELECT * FROM default.people", "SELECT * FROM range(3)",
+    "SELECT (SELECT max(note) FROM staff_notes) FROM people", "SELECT * FROM people WHERE StudentKey IN (SELECT k FROM staff_notes)",
+    "WITH x AS (SELECT * FROM staff_notes) SELECT * FROM x", "SELECT * FROM people JOIN staff_notes ON StudentKey = k"])
+def test_only_published_tables_are_read(spark, people, sql):
+    spark.createDataFrame([(1, "secret")], "k int, note string").createOrReplaceTempView("staff_notes")
+    with pytest.raises(ValueError):
+        D.capped_query(spark, {"people": people}, sql)
+    assert spark.table("staff_notes").count() == 1
+
+
 def test_select_is_capped(spark, people):
-    rows, more = D.capped_query(spark, {"people": people}, "  with x as (select 1 as a) select * from x ;")
-    assert rows.count() == 1 and more is False
-    rows, more = D.capped_query(spark, {"people": people}, "SELECT * FROM people", cap=4)
-    assert rows.count() == 4 and more is True
+    rows = D.capped_query(spark, {"people": people}, "  with x as (select 1 as a) select * from x ;", cap=4)
+    assert [tuple(r) for r in rows.collect()] == [(1, False)]
+    rows = D.capped_query(spark, {"people": people}, "SELECT * FROM people", cap=4).collect()
+    assert len(rows) == 4 and all(r["truncated"] for r in rows)
+    rows = D.capped_query(spark, {"people": people}, "WITH people AS (SELECT * FROM people WHERE FacultyKey = 1) SELECT * FROM people")
+    assert rows.count() == 3 and not rows.where("truncated").count()
+
+
+def test_reports_have_as_many_rows_as_asked_for(spark):
+    many = spark.range(700).selectExpr("cast(id as int) as StudentKey", "concat('Name', id) as FullName", "1 as FacultyKey", "1 as StudyYear", "'x' as Status",
+                                       "rand(1) as RiskProbability", "'F' as FacultyName", "'high' as RiskLevel", "'G' as GroupName")
+    assert D.top_risk(many, 120).count() == 120 and D.find_students(many, "name", 300).count() == 300
+    assert D.risk_search(many).count() == 700 and D.risk_search(many, limit=5).count() == 5
+
+
+def test_last_good_run_is_found_behind_many_failures(spark):
+    from cohortlake.operators.quality import last_good_run
+    runs = spark.range(1, 40).selectExpr("cast(id as int) as RunID", "if(id = 3, 'SUCCESS', 'FAILED') as Status")
+    assert [r["RunID"] for r in last_good_run(runs).collect()] == [3]
 
 
 def test_roles(people):
