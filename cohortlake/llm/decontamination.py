@@ -38,11 +38,11 @@ SAMPLED = 3
 AGREE = 0.08
 AT_ONCE = 1 << 22
 STEP = 1 << 15  # windows that are walked together
-_TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+_TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in bytes(range(256)).lower())
 
 
 def words(text: bytes | None) -> np.ndarray:
-    return word_hashes(text.lower().translate(_TABLE).split()) if text else np.zeros(0, np.uint64)
+    return word_hashes([text], _TABLE)[0]
 
 
 # -- embedding and hashing -------------------------------------------------------------------------------------------
@@ -238,16 +238,15 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_te
             ix = index.value
             for batch in batches:
                 for part in slices(batch, "text", 4 << 20):
-                    hs = [words(t) for t in texts(part.column("text"))]
-                    sizes = np.array([h.size for h in hs])
+                    h, sizes = word_hashes(texts(part.column("text")), _TABLE)
                     ends = np.cumsum(sizes)
-                    found = ix.candidates(np.concatenate([*hs, np.zeros(2 * SEGMENT + 1, np.uint64)]), int(ends[-1]))
+                    found = ix.candidates(np.concatenate([h, np.zeros(2 * SEGMENT + 1, np.uint64)]), int(ends[-1]))
                     of = np.searchsorted(ends, found[:, 0], "right")
-                    cuts = np.searchsorted(of, np.arange(len(hs) + 1))
+                    cuts = np.searchsorted(of, np.arange(sizes.size + 1))
                     ids, rows = part.column("doc_id").to_pylist(), []
                     for d in np.unique(of):
                         own = found[cuts[d]:cuts[d + 1]] - np.array([ends[d] - sizes[d], 0, 0])
-                        rows += [(ids[d], *x) for x in leaks(hs[d], own, ix.items, rate)]
+                        rows += [(ids[d], *x) for x in leaks(h[ends[d] - sizes[d]:ends[d]], own, ix.items, rate)]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "item_words", "distance", "end_word"])
         return rows.mapInArrow(run, schema)

@@ -260,9 +260,10 @@ def across(members: DataFrame, percent: int) -> DataFrame:
                     last, held = keys[a], {c: [] for c in names}
                 for c in names:
                     held[c] += rows[c][a:b]
+            found = sorted(set(found))  # many parts have the same two members
             yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
         if held:
-            found = compare(held, *last[1:])
+            found = sorted(set(compare(held, *last[1:])))
             yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
     return rows.mapInArrow(run, "a long, b long").distinct()
 

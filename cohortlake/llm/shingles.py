@@ -2,31 +2,61 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 
-from cohortlake.llm.common import mix64, texts, words_of
+from cohortlake.llm.common import mix64, texts
 
-#: Word hashes remembered by a worker before it starts anew; a bound on memory only.
-MEMORY = 250_000
 #: Odd multipliers, one for each place of a shingle.
 PLACES = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+#: What a byte adds to a word's hash, before it is multiplied with a power of BASE for its place.
+BYTES = mix64(np.arange(1000, 1256, dtype=np.uint64))
+BASE = int(PLACES[7])
+INVERSE = pow(BASE, -1, 1 << 64)
+SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+AS_IS = bytes(range(256))
+LOWER = AS_IS.lower()
+#: Bytes that are hashed together; longer texts are hashed alone.
+TOGETHER = 1 << 19
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+@lru_cache(maxsize=4)
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
-_known = _Hashes()
+def word_hashes(column: list[bytes | None], table: bytes = AS_IS) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of all words of all texts, and the number of words of each text. ``table`` translates bytes first.
+    A hash is a polynomial in the word's bytes, so all words are hashed by one running sum over the bytes."""
+    hashes, counts, part, size = [], [], [], 0
+    for text in column:
+        part.append(text or b"")
+        size += len(part[-1]) + 1
+        if size >= TOGETHER:
+            _hash(part, table, hashes, counts)
+            part, size = [], 0
+    _hash(part, table, hashes, counts)
+    return np.concatenate(hashes), np.concatenate(counts)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_known) > MEMORY:
-        _known.clear()
-    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+def _hash(part: list[bytes], table: bytes, hashes: list, counts: list) -> None:
+    data = np.frombuffer(b" " + b" ".join(part).translate(table) + b" ", np.uint8)
+    space = SPACE[data]
+    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    n = 1 << max(20, int(data.size).bit_length())
+    total = BYTES[data]
+    total *= powers(BASE, n)[:data.size]
+    np.cumsum(total, out=total)
+    h = total[ends - 1] - total[starts - 1]
+    h *= powers(INVERSE, n)[starts]
+    hashes.append(mix64(h ^ (ends - starts).astype(np.uint64)))
+    upto = np.cumsum([len(t) + 1 for t in part]) if part else np.zeros(0, np.int64)
+    counts.append(np.diff(np.searchsorted(starts, upto + 1), prepend=0))
 
 
 def rolling(h: np.ndarray, width: int) -> np.ndarray:
@@ -43,12 +73,10 @@ def rolling(h: np.ndarray, width: int) -> np.ndarray:
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     """Per text its distinct shingles, ascending. A text of fewer words has its whole sequence as one, a text without
     words has none."""
-    words = [words_of(t, lower=True) for t in texts(column)]
-    h = word_hashes([w for ws in words for w in ws])
+    h, sizes = word_hashes(texts(column), LOWER)
     all_windows = rolling(h, width)
     out, at = [], 0
-    for ws in words:
-        n = len(ws)
+    for n in sizes.tolist():
         if n >= width:
             out.append(np.unique(all_windows[at:at + n - width + 1]))
         elif n:

@@ -105,12 +105,11 @@ def blocks(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         ids, sizes, hashes, held = [], [], [], 0
         for batch in batches:
             for piece in slices(batch, "text"):
-                for doc, text in zip(piece.column("doc_id").to_pylist(), texts(piece.column("text"))):
-                    h = word_hashes(words_of(text))
-                    ids.append(doc)
-                    sizes.append(h.size)
-                    hashes.append(h)
-                    held += h.size
+                h, n = word_hashes(texts(piece.column("text")))
+                ids += piece.column("doc_id").to_pylist()
+                sizes += n.tolist()
+                hashes.append(h)
+                held += h.size
                 if held > CHUNK:
                     yield pack(ids, sizes, hashes, chunk)
                     chunk += 1
@@ -193,8 +192,10 @@ def places_to_go(found: DataFrame, window: int) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             for piece in slices(batch, "text"):
-                for doc, text, hits in zip(piece.column("doc_id").to_pylist(), texts(piece.column("text")), piece.column("hits").to_pylist()):
-                    h = word_hashes(words_of(text))
+                whole, sizes = word_hashes(texts(piece.column("text")))
+                ends = np.cumsum(sizes)
+                for doc, a, b, hits in zip(piece.column("doc_id").to_pylist(), ends - sizes, ends, piece.column("hits").to_pylist()):
+                    h = whole[a:b]
                     n = h.size - window + 1
                     if n <= 0:
                         continue
