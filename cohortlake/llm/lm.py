@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortlake.llm.common import remainder, slices, texts, words_of, written
 from cohortlake.llm.gru import END, OTHER, Gru
+from cohortlake.llm.shingles import split_words
 
 FOLDS, HELD_OUT = 7, 2
 FREQUENT = 1 << 17
@@ -137,10 +138,9 @@ def train(rows: DataFrame, words: Vocabulary) -> Gru:
             for batch in chunks(batches):
                 if own is None:
                     own = start.value.of(start.value.flat())
-                bags = [words_of(t, lower=True) for t in texts(batch.column("text"))]
-                ids = known.value.ids(known.value.ranks([w for b in bags for w in b]))
-                ends = np.cumsum([len(b) for b in bags])
-                seen += own.train([np.append(ids[e - len(b):e], END) for b, e in zip(bags, ends)], rate, squares)
+                flat, n = split_words(texts(batch.column("text")))
+                ids, ends = known.value.ids(known.value.ranks(flat)), np.cumsum(n)
+                seen += own.train([np.append(ids[e - k:e], END) for k, e in zip(n, ends)], rate, squares)
             if own is not None:
                 flat, source = own.flat(), TaskContext.get().partitionId()
                 for p in range(0, flat.size, PART):
@@ -181,19 +181,15 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
                 at += score.size
 
         for batch in chunks(batches):
-            bags = [words_of(t, lower=True) for t in texts(batch.column("text"))]
-            ranks = known.ranks([w for b in bags for w in b])
-            n = np.array([len(b) for b in bags])
-            ends = np.cumsum(n)
+            flat, n = split_words(texts(batch.column("text")))
+            ranks, ends = known.ranks(flat), np.cumsum(n)
             ids = known.ids(ranks).astype(np.int32)
             docs += [np.append(ids[e - k:e], np.int32(END)) for k, e in zip(n, ends)]
             doc = np.repeat(np.arange(n.size), n)[ranks >= 0]
             ranks_in = ranks[ranks >= 0]
             sums = lambda v: np.bincount(doc, v[ranks_in], n.size)  # noqa: B023, E731
-            left = [list(Counter(w for w, r in zip(b, ranks[e - len(b):e].tolist()) if r < 0).items()) for b, e in zip(bags, ends)]
-            flat = [x for own in left for x in own]
-            items = pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.binary()), pa.array([k for _, k in flat], pa.int64())], ["word", "n"])
-            rest = pa.ListArray.from_arrays(np.cumsum([0, *map(len, left)]).astype(np.int32), items)
+            others = np.flatnonzero(ranks < 0)
+            rest = pa.ListArray.from_arrays(np.concatenate([[0], np.searchsorted(others, ends)]).astype(np.int32), pa.array([flat[k] for k in others.tolist()], pa.binary()))
             held.append(([batch.column("doc_id"), batch.column("held_out"), pa.array(n + 1), pa.array(np.bincount(doc, minlength=n.size) + (known.docs > 0)), pa.array(sums(base) + end), rest], sums(other)))
             tokens += int(n.sum())
             if tokens > TOGETHER:
@@ -201,13 +197,13 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
                 held, docs, tokens = [], [], 0
         if held:
             yield from flush()
-    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<struct<word:binary,n:bigint>>")
+    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<binary>")
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     # the words that are not among the frequent ones
-    rare = scored.select("row", F.explode("rest").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("n"))
+    rare = scored.select("row", F.explode("rest").alias("word"))
     rare = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    log = lambda of: F.sum(F.col("n") * F.log10((F.col("c") + 1) / F.lit(float(of))))
-    rare = rare.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"), log(base_of).alias("b"), log(others_of).alias("s"))
+    log = lambda of: F.sum(F.log10((F.col("c") + 1) / F.lit(float(of))))
+    rare = rare.groupBy("row").agg(F.sum((F.col("c") > 0).cast("long")).alias("k"), log(base_of).alias("b"), log(others_of).alias("s"))
     out = scored.drop("rest").join(rare, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("k")).alias("n_known"), F.lit(words.tokens).cast("long").alias("train_tokens"),

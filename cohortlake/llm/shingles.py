@@ -43,6 +43,15 @@ def word_hashes(column: list[bytes | None], table: bytes = AS_IS) -> tuple[np.nd
     return np.concatenate(hashes), np.concatenate(counts)
 
 
+def split_words(column: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
+    """All words of all texts, A-Z in lower case, and the number of words of each text."""
+    joined = b" ".join(t or b"" for t in column).lower()
+    space = SPACE[np.frombuffer(b" " + joined + b" ", np.uint8)]
+    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    upto = np.cumsum([len(t or b"") + 1 for t in column], dtype=np.int64)
+    return joined.split(), np.diff(np.searchsorted(starts, upto + 1), prepend=0)
+
+
 def _hash(part: list[bytes], table: bytes, hashes: list, counts: list) -> None:
     data = np.frombuffer(b" " + b" ".join(part).translate(table) + b" ", np.uint8)
     space = SPACE[data]
