@@ -317,13 +317,34 @@ def _(u):
     return SF.changed_files(manifest, seen).select("FileName", "FileHash")
 
 
-@register("union_batches", query("SELECT DISTINCT (l_orderkey * 10 + l_linenumber)::VARCHAR AS k FROM lineitem"))
+NAMED = """(SELECT page_id, ['grades', 'grades_', 'gradesheet_', 'payments_'][page_id % 4 + 1] || CASE WHEN page_id % 4 > 0 THEN page_id::VARCHAR ELSE '' END
+  || ['.csv', '.json', '.txt'][page_id % 3 + 1] AS FileName FROM pages)"""
+
+
+@register("file_name_rule", query(rf"SELECT page_id, FileName FROM {NAMED} WHERE regexp_matches(FileName, '^grades(_.*)?[.](csv|json)$')"))
+def _(u):
+    stems = F.array(*[F.lit(x) for x in ("grades", "grades_", "gradesheet_", "payments_")])
+    ends = F.array(*[F.lit(x) for x in (".csv", ".json", ".txt")])
+    number = F.when(F.col("page_id") % 4 > 0, F.col("page_id").cast("string")).otherwise("")
+    name = F.concat(stems[(F.col("page_id") % 4).cast("int")], number, ends[(F.col("page_id") % 3).cast("int")])
+    return SF.named(u.table("pages").select("page_id", name.alias("FileName")), "grades").select("page_id", "FileName")
+
+
+@register("changed_manifest", query("""SELECT url || '#' || page_id AS FileName, md5(html) AS FileHash FROM pages WHERE page_id % 5 = 0 OR page_id % 7 = 0"""))
+def _(u):
+    """Pages as files: the log has an older content for every fifth and has never seen every seventh."""
+    manifest = u.table("pages").select("page_id", F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("FileName"), F.md5(F.col("html").cast("binary")).alias("FileHash"))
+    seen = manifest.where("page_id % 7 != 0").withColumn("FileHash", F.when(F.col("page_id") % 5 == 0, "older").otherwise(F.col("FileHash")))
+    return SF.changed_files(manifest.drop("page_id"), seen)
+
+
+@register("union_batches", query("SELECT o_orderkey::VARCHAR AS k, o_custkey::VARCHAR AS customer, o_orderstatus AS status FROM orders"))
 def _(u):
     path = fresh_path(u.spark, "batches")
-    lines = u.table("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"))
-    SF.export_csv(lines, f"{path}/first")
-    SF.export_csv(lines.where("k % 3 = 0"), f"{path}/second")      # a second batch repeats some keys
-    return SF.union_batches(u.spark, [f"{path}/first", f"{path}/second"], ["k"], "k")
+    rows = u.table("orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("status"))
+    SF.export_csv(rows, f"{path}/first")
+    SF.export_csv(rows.where("k % 3 = 0").withColumn("status", F.lit("later")), f"{path}/second")      # a second batch repeats some keys
+    return SF.union_batches(u.spark, [f"{path}/first", f"{path}/second"], ["k", "customer", "status"], "k")
 
 
 @register("write_stage", query("SELECT c_name, c_custkey FROM customer"))

@@ -1,5 +1,7 @@
 """Delivered files: discovery, change detection, and reading as text."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 # --- fixed values: texts that stand for a missing value in delivered CSV files
@@ -41,8 +43,11 @@ def read_text_json(spark: SparkSession, path, columns, origin: bool = True, arra
 def discover(spark: SparkSession, folder: str, table: str | None = None, suffixes=SUFFIXES) -> DataFrame:
     """S3: delivered files ``table.suffix`` and ``table_*.suffix``, sorted by name. Contents are not read."""
     files = spark.read.format("binaryFile").load(folder).select("path", "length", "modificationTime")
-    name = F.element_at(F.split("path", "/"), -1)
-    files = files.withColumn("FileName", name)
+    return named(files.withColumn("FileName", F.element_at(F.split("path", "/"), -1)), table, suffixes)
+
+
+def named(files: DataFrame, table: str | None = None, suffixes=SUFFIXES) -> DataFrame:
+    """S3: the files whose names are those of a table's deliveries."""
     suffix = F.element_at(F.split("FileName", r"\."), -1)
     stem = F.regexp_replace("FileName", r"\.[^.]*$", "")
     files = files.where(suffix.isin(*suffixes)).withColumn("Stem", stem)
@@ -72,8 +77,11 @@ def changed_files(manifest: DataFrame, file_log: DataFrame, full: bool = False)
 
 
 def union_batches(spark: SparkSession, paths, columns, pk: str) -> DataFrame:
-    """All batch files of a table, one row per key."""
-    return read_text_csv(spark, paths, columns, origin=False).dropDuplicates([pk])
+    """All batch files of a table, one row per key: the first in the order of the paths, then of names and rows."""
+    parts = [read_text_csv(spark, p, columns).withColumn("_batch", F.lit(i)) for i, p in enumerate([paths] if isinstance(paths, str) else paths)]
+    rows = reduce(DataFrame.unionByName, parts)
+    first = rows.groupBy(F.col(pk).alias("_pk")).agg(F.min_by(F.struct(*columns), F.struct("_batch", "_file", "_ord")).alias("_row"))
+    return first.select("_row.*")
 
 
 def export_csv(df: DataFrame, path: str) -> None:
