@@ -40,6 +40,12 @@ def number(c: Column) -> Column:
     return F.when(plain.rlike(NUMBER), plain.try_cast("double"))
 
 
+def whole(c: Column) -> Column:
+    """The number if it has no fraction; null else."""
+    n = number(c)
+    return F.when(n % 1 == 0, n)
+
+
 def iso_date(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("-")), F.try_to_date(c, "yyyy-M-d"))
 

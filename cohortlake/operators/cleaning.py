@@ -81,7 +81,7 @@ def standardise(df: DataFrame, spec: TableSpec) -> DataFrame:
 def retype(df: DataFrame, spec: TableSpec) -> DataFrame:
     """C5 + C6: numbers written with blanks, dates in two notations."""
     numeric = [*spec.ints, *spec.floats]
-    numbers = {c: X.number(F.col(c)) for c in numeric}
+    numbers = {c: X.whole(F.col(c)) if c in spec.ints else X.number(F.col(c)) for c in numeric}
     dates = {c: F.coalesce(X.iso_date(F.col(c)), X.local_date(F.col(c))) for c in spec.dates}
     changed = any_of([X.compact(F.col(c)) != F.col(c) for c in numeric]
                      + [X.iso_date(F.col(c)).isNull() & X.local_date(F.col(c)).isNotNull() for c in spec.dates])
