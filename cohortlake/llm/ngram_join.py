@@ -313,7 +313,7 @@ def join(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int =
     rows = put(docs, width, percent, frequent)
     together = W.partitionBy("part", "spread")
     rows = rows.withColumn("leader", F.min("doc").over(together)).withColumn("members", F.count(F.lit(1)).over(together))
-    shared = written(rows.where("members > 1 or spread > 0").select("part", "spread", "doc", "leader"), "shared")
+    shared = written(rows.where("members > 1 or spread > 0").select("part", "spread", "doc", "leader", "members"), "shared")
     del rows
     release(spark)
     stars = shared.where("doc != leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
@@ -325,13 +325,15 @@ def join(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int =
     pairs = pairs.join(as_rep("a"), "a").join(as_rep("b"), "b").where("a_rep != b_rep")
     pairs = pairs.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct()
     # from here on, only documents that share a part with another one matter
-    members = shared.join(as_rep("doc"), "doc").select("part", F.col("doc_rep").alias("rep"))
-    held = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    sharing = shared.select("doc").distinct().join(as_rep("doc"), "doc").select(F.col("doc_rep").alias("doc_id")).distinct()
+    held = docs.join(sharing, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     held = written(held, "candidates")
     release(spark)
     links = written(verified(likely(pairs, reps, percent), held, width, percent), "links")
     roots = components(links)
 
+    # two members have been compared; more may need other pairs than those with their leader
+    members = shared.where("members > 2 or spread > 0").join(as_rep("doc"), "doc").select("part", F.col("doc_rep").alias("rep"))
     members = unsettled(members.distinct(), roots)
     kinds = members.groupBy("part").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("f1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("f2"))
     kinds = kinds.where("size > 2").groupBy("size", "f1", "f2").agg(F.min("part").alias("part")).select("part")
