@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from cohortlake.llm.common import release, slices, texts, words_of, written
+from cohortlake.llm.common import release, slices, texts, whole_rows, words_of, written
 from cohortlake.llm.shingles import rolling, word_hashes
 
 WINDOW = 20
@@ -267,11 +267,11 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFram
         return pa.StructArray.from_arrays([pa.array(list(columns[0]), pa.binary()).cast(pa.string()), pa.array(list(columns[1]), pa.int64()), pa.array(list(columns[2]), pa.int64()), spans], ["text", "n_words", "n_removed", "spans"])
 
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    gone = gone.select(F.col("doc_id").alias("_key"), F.struct("at", "gone").alias("_gone"))
-    joined = docs.withColumn("_key", key).join(gone, "_key", "left")
-    joined = joined.withColumn("_cut", cut.asNondeterministic()(F.col(text), F.col("_gone.at"), F.col("_gone.gone")))
+    gone = gone.select(F.col("doc_id").alias("key"), "at", "gone")
+    joined = docs.select(whole_rows(docs), key.alias("key"), F.col(text).alias("t")).join(gone, "key", "left")
+    joined = joined.withColumn("cut", cut.asNondeterministic()("t", "at", "gone"))
     rest = [c for c in docs.columns if c not in ("n_words", "n_removed", "spans")]
-    return joined.select(*[F.col("_cut.text").alias(text) if c == text else F.col(f"`{c}`") for c in rest], "_cut.n_words", "_cut.n_removed", "_cut.spans")
+    return joined.select(*[F.col("cut.text").alias(text) if c == text else F.col("row").getField(c).alias(c) for c in rest], "cut.n_words", "cut.n_removed", "cut.spans")
 
 
 def digests(docs: DataFrame) -> DataFrame:

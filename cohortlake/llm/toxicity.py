@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlake.llm.common import remainder, slices
+from cohortlake.llm.common import remainder, slices, whole_rows
 
 SAMPLE = 20_000
 LEAST_DOCUMENTS = 4
@@ -180,8 +180,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         return pa.StructArray.from_arrays([pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array(offending, pa.list_(item))], ["score", "predicted", "offending"])
 
     names = ("score", "predicted", "offending")
-    scored = docs.withColumn("_scored", run.asNondeterministic()(text))
-    return scored.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names], *[F.col(f"_scored.{n}") for n in names])
+    scored = docs.select(whole_rows(docs), F.col(text).alias("t")).withColumn("s", run.asNondeterministic()("t"))
+    return scored.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in names], *[F.col(f"s.{n}") for n in names])
 
 
 def held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:

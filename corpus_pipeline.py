@@ -19,13 +19,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlake.llm import bpe, decontamination, ngram_join, substring, toxicity
-from cohortlake.llm.common import frame_of, written
+from cohortlake.llm.common import frame_of, whole_rows, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = toxicity.training_rows(docs, frame_of(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.withColumn("_text", F.col("text")), toxicity.fit(rows), text="_text")
-    return scored.where("predicted = 0").select(*docs.columns)
+    scored = toxicity.score(docs.select(whole_rows(docs), "text"), toxicity.fit(rows))
+    return scored.where("predicted = 0").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +40,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substring.dedup(docs).where("n_words = 0 or n_removed < n_words")
+    cut = substring.dedup(docs.select("doc_id", "text", whole_rows(docs))).where("n_words = 0 or n_removed < n_words")
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return cut.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

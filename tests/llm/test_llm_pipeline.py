@@ -13,6 +13,7 @@ from cohortlake.session import written
 from test_llm_documents import SCHEMA, component_of, odd_rows, removed
 
 FOLDER = "/root/testdata/sf0.001"
+CLASHING = "ids score predicted offending n_words n_removed spans row key t cut at gone _text rep component_id part item_id".split()
 
 
 def test_registered():
@@ -54,13 +55,13 @@ def test_stages_on_documents(spark):
 
 @pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
 def test_stages_on_odd_rows(spark, name, stage):
-    docs = spark.createDataFrame(odd_rows(), SCHEMA).selectExpr("*", "'mine' as ids", "'mine' as score", "1 as _text", "2 as _key", "'x' as rep")
+    docs = spark.createDataFrame(odd_rows(), SCHEMA).selectExpr("*", *[f"'mine' as {c}" for c in CLASHING])
     out = stage(spark, docs, FOLDER)
     rows = out.collect()
     if name == "byte_bpe":
         assert len(rows) == len(odd_rows())
     else:
-        assert out.columns == docs.columns and {r["ids"] for r in rows} == {"mine"}
+        assert out.columns == docs.columns and {r[c] for r in rows for c in CLASHING} == {"mine"}
     if name == "ngram_join":
         assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == [1, 4, 5, 6, 7, 10, 11, 12, 13, 14, 15]
         assert sum(r["doc_id"] is None for r in rows) == 2
