@@ -190,14 +190,17 @@ def close(na, nb, sa: bytes, sb: bytes, percent: int) -> bool:
 
 def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose sketches are close enough."""
+    size = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}")).distinct()
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    # sizes alone rule out many pairs before sketches move
+    pairs = pairs.join(size("a"), "a").join(size("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
     def run(batches):
         for batch in batches:
             rows = batch.to_pydict()
             keep = [close(*x, percent) for x in zip(rows["na"], rows["nb"], rows["sa"], rows["sb"])]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), ["a", "na"]).join(side("b"), ["b", "nb"]).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
@@ -224,8 +227,9 @@ def verified(pairs: DataFrame, held: DataFrame, width: int, percent: int) -> Dat
 
 
 def across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members (part, i, j, block, rep, root, n, sketch) of one part, in different components, with close sketches."""
-    rows = members.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
+    """Pairs of members (top, part, i, j, block, rep, root, n, sketch) of one part, in different components, with close sketches.
+    Parts with the same least member lie together, as they have many pairs in common, which then go on once."""
+    rows = members.repartition("top", "i", "j").sortWithinPartitions("top", "part", "i", "j")
 
     def compare(g: dict[str, list], i: int, j: int) -> list[tuple[int, int]]:
         block, root, rep, n = (np.array(g[k], np.int64) for k in ("block", "root", "rep", "n"))
@@ -340,17 +344,17 @@ def join(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int =
     members = written(members.join(kinds, "part", "left_semi").select("part", "rep"), "unsettled")
     for k in range(1, ROUNDS):
         rooted = unsettled(members, roots)
-        chief = F.min_by(F.struct("rep", "root"), F.xxhash64("rep", F.lit(k)))
+        chief = F.min_by(F.struct("rep", "root"), F.xxhash64("rep", "part", F.lit(k)))
         tried = rooted.join(rooted.groupBy("part").agg(chief.alias("chief")), "part").where("chief.root != root")
         tried = tried.select(F.least("rep", "chief.rep").alias("a"), F.greatest("rep", "chief.rep").alias("b")).distinct()
         links, roots = joined(links, roots, verified(likely(tried, reps, percent), held, width, percent))
 
     rooted = unsettled(members, roots)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rooted = rooted.join(rooted.groupBy("part").agg(F.count(F.lit(1)).alias("size")), "part").withColumn("blocks", blocks).join(reps, "rep")
+    rooted = rooted.join(rooted.groupBy("part").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("top")), "part").withColumn("blocks", blocks).join(reps, "rep")
     rooted = rooted.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
     rooted = rooted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rooted = rooted.select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "root", "n", "sketch")
+    rooted = rooted.select("top", "part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "root", "n", "sketch")
     links, roots = joined(links, roots, verified(across(rooted, percent), held, width, percent))
     least = roots.groupBy("root").agg(F.min("node").alias("component_id"))
     named = roots.join(least, "root").select(F.col("node").alias("rep"), "component_id")
