@@ -18,6 +18,7 @@ column is replaced.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -107,7 +108,7 @@ def fit(rows: DataFrame, rounds: int = ROUNDS, rate: float = RATE, decay: float
         return Model({}, -40.0)
     known: dict[bytes, int] = {}  # words
     names: dict[bytes, int] = {}  # features
-    of_word: list[int] = []  # features of each word, -1 where it has fewer
+    of_word = array("i")  # features of each word, -1 where it has fewer
     ids, sizes, counts = [], [], []
     for batch in table.to_batches(max_chunksize=256):
         for text in batch.column("text").to_pylist():
@@ -115,12 +116,12 @@ def fit(rows: DataFrame, rounds: int = ROUNDS, rate: float = RATE, decay: float
             for w in {w for s in bag for w in s}.difference(known):
                 known[w] = len(known)
                 own = [names.setdefault(f, len(names)) for f in features(w)]
-                of_word += own + [-1] * (1 + len(STEMS) - len(own))
+                of_word.extend(own + [-1] * (1 + len(STEMS) - len(own)))
             ids.append(np.array([known[w] for s in bag for w in s], np.int32))
             sizes += [len(s) for s in bag]
             counts.append(len(bag))
     y = np.array(table.column("toxic").to_pylist(), bool)
-    of_word = np.array(of_word, np.int32).reshape(-1, 1 + len(STEMS))
+    of_word = np.frombuffer(of_word, np.int32).reshape(-1, 1 + len(STEMS))
     found, in_toxic = np.zeros(len(names)), np.zeros(len(names))
     for own, toxic in zip(ids, y):
         f = np.unique(of_word[np.unique(own)])
