@@ -23,11 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlake.llm.common import remainder, slices, whole_rows
 
-SAMPLE = 20_000
+SAMPLE = 15_000
 LEAST_DOCUMENTS = 4
 LEAST_EXCESS = 5.0
 FOLDS = 5
@@ -106,37 +107,44 @@ def fit(rows: DataFrame, rounds: int = ROUNDS, rate: float = RATE, decay: float
     table = rows.orderBy("doc_id").toArrow()
     if not table.num_rows or not any(table.column("toxic").to_pylist()):
         return Model({}, -40.0)
+    y = np.array(table.column("toxic").to_pylist(), bool)
     known: dict[bytes, int] = {}  # words
-    names: dict[bytes, int] = {}  # features
-    of_word = array("i")  # features of each word, -1 where it has fewer
+    of_word = array("Q")  # hashes of each word's features, 0 where it has fewer
     ids, sizes, counts = [], [], []
     for batch in table.to_batches(max_chunksize=256):
         for text in batch.column("text").to_pylist():
             bag = sentences(text)
             for w in {w for s in bag for w in s}.difference(known):
                 known[w] = len(known)
-                own = [names.setdefault(f, len(names)) for f in features(w)]
-                of_word.extend(own + [-1] * (1 + len(STEMS) - len(own)))
+                own = [xxhash.xxh3_64_intdigest(f) for f in features(w)]
+                of_word.extend(own + [0] * (1 + len(STEMS) - len(own)))
             ids.append(np.array([known[w] for s in bag for w in s], np.int32))
-            sizes += [len(s) for s in bag]
+            sizes.append(np.array([len(s) for s in bag], np.int32))
             counts.append(len(bag))
-    y = np.array(table.column("toxic").to_pylist(), bool)
-    of_word = np.frombuffer(of_word, np.int32).reshape(-1, 1 + len(STEMS))
-    found, in_toxic = np.zeros(len(names)), np.zeros(len(names))
+    del table
+    names, of_word = np.unique(np.append(np.frombuffer(of_word, np.uint64), np.uint64(0)), return_inverse=True)  # feature 0 is none
+    of_word = of_word[:-1].astype(np.int32).reshape(-1, 1 + len(STEMS))
+    found, in_toxic = np.zeros(names.size), np.zeros(names.size)
     for own, toxic in zip(ids, y):
         f = np.unique(of_word[np.unique(own)])
-        f = f[f >= 0]
         found[f] += 1
         in_toxic[f] += toxic
+    found[0] = in_toxic[0] = 0
     beyond = (in_toxic - found * y.mean()) / np.sqrt(found * y.mean() * (1 - y.mean()) + 1e-12)
     often = np.flatnonzero((found >= LEAST_DOCUMENTS) & (beyond >= LEAST_EXCESS))
-    new = np.full(len(names) + 1, -1, np.int32)  # the last is for -1
+    new = np.full(names.size, -1, np.int32)
     new[often] = np.arange(often.size)
     of_word = new[of_word]
     told = (of_word >= 0).any(axis=1)
-    sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    ids = np.concatenate(ids)
-    sentence, ids = sentence[told[ids]], of_word[ids[told[ids]]]
+    # only words with a chosen feature go on, each with the number of its sentence
+    sentence, chosen, before = [], [], 0
+    for own, n in zip(ids, sizes):
+        use = told[own]
+        sentence.append(np.repeat(np.arange(before, before + n.size, dtype=np.int32), n)[use])
+        chosen.append(own[use])
+        before += n.size
+    sizes = np.concatenate(sizes)
+    sentence, ids = np.concatenate(sentence), of_word[np.concatenate(chosen)]
     sentence, ids = np.repeat(sentence, ids.shape[1]), ids.ravel()
     sentence, ids = sentence[ids >= 0], ids[ids >= 0]
     counts = np.array(counts)
@@ -155,8 +163,12 @@ def fit(rows: DataFrame, rounds: int = ROUNDS, rate: float = RATE, decay: float
         move = rate * (moments[0] / (1 - 0.9 ** t)) / (np.sqrt(moments[1] / (1 - 0.99 ** t)) + 1e-9)
         w -= move[:-1]
         b -= move[-1]
-    names = list(names)
-    return Model({names[often[k]]: float(w[k]) for k in np.flatnonzero(np.abs(w) > 1e-3)}, float(b))
+    kept = {int(names[often[k]]): float(w[k]) for k in np.flatnonzero(np.abs(w) > 1e-3)}
+    weights = {}
+    for word, use in zip(known, told):
+        if use:
+            weights |= {f: kept[h] for f in features(word) for h in [xxhash.xxh3_64_intdigest(f)] if h in kept}
+    return Model(weights, float(b))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
