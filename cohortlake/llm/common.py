@@ -33,7 +33,7 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
 
 
-def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about so many bytes of text, at least one row each, so that memory follows
     the longest text and not the number of rows."""
     if not batch.num_rows:

@@ -142,7 +142,7 @@ def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 k = len(sets)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([h.size for h in sets], pa.int64()), pa.array(np.array(k1, np.uint64).view(np.int64)), pa.array(np.array(k2, np.uint64).view(np.int64)),
                                                   pa.array(sketches, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
-                if held > 1 << 23:
+                if held > 1 << 22:
                     yield counted()
                     keys, held = [], 0
         if keys:

@@ -36,7 +36,7 @@ ROUNDS = 150
 RATE = 0.2
 #: Characters of a word's beginnings that are features.
 STEMS = (4, 5, 6, 7)
-MEMORY = 500_000
+MEMORY = 100_000
 DECAY = 1e-4
 #: Sentences end at these characters; all else that is neither a letter, a digit nor beyond ASCII separates words.
 ENDS = b".!?\n"
@@ -182,7 +182,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     def run(column: pa.Array) -> pa.Array:
         whole = pa.RecordBatch.from_arrays([column], ["text"])
         scores, offending = [], []
-        for part in slices(whole, "text"):
+        for part in slices(whole, "text", 1 << 20):
             rows = part.column("text").to_pylist()
             total, own = sent.value.score(rows)
             scores.append(total)
