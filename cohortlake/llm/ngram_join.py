@@ -42,6 +42,8 @@ FREQUENT = 64
 SPREAD = 4096
 ROUNDS = 3
 BLOCK = 256
+#: Pairs that a task remembers, so as not to send them again; a bound on memory only.
+SEEN = 1 << 18
 EMPTY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -250,6 +252,16 @@ def across(members: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         last, held = None, None
         names = ["block", "rep", "root", "n", "sketch"]
+        seen = set()
+
+        def new(found):
+            """Pairs that this task has not sent lately: many parts have the same two members."""
+            found = sorted(set(found) - seen)
+            if len(seen) > SEEN:
+                seen.clear()
+            seen.update(found)
+            return found
+
         for batch in batches:
             rows = batch.to_pydict()
             keys = list(zip(rows["part"], rows["i"], rows["j"]))
@@ -264,10 +276,10 @@ def across(members: DataFrame, percent: int) -> DataFrame:
                     last, held = keys[a], {c: [] for c in names}
                 for c in names:
                     held[c] += rows[c][a:b]
-            found = sorted(set(found))  # many parts have the same two members
+            found = new(found)
             yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
         if held:
-            found = sorted(set(compare(held, *last[1:])))
+            found = new(compare(held, *last[1:]))
             yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
     return rows.mapInArrow(run, "a long, b long").distinct()
 
