@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlake.session import written
 
-__all__ = ["written", "words_of", "texts", "slices", "map_batches", "remainder", "mix64", "frame_of", "release", "whole_rows"]
+__all__ = ["written", "words_of", "texts", "slices", "map_batches", "remainder", "mix64", "frame_of", "release", "short_batches", "whole_rows"]
 
 #: The words of all operators: runs of bytes other than blank, tab, line feed, vertical tab, form feed and return.
 #: bytes.split() without arguments splits at just these six, and bytes.lower() changes A-Z alone.
@@ -84,6 +84,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def short_batches(spark, rows: int = 2000) -> None:
+    """Documents are long rows: a session that hands over more of them at once than this gets this number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def whole_rows(df: DataFrame, name: str = "row") -> Column:
     """All columns as one, so that an operator's own columns can have any names."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlake.llm import bpe, decontamination, host_rules, lm, ngram_join, substring, token_counts, token_files, toxicity, warc
-from cohortlake.llm.common import frame_of
+from cohortlake.llm.common import frame_of, short_batches
 
 QUERIES, ORACLES = {}, {}
 
 
 def register(name: str, sql: str | None = None):
     def keep(fn):
-        QUERIES[name] = fn
+        def run(spark, sf_dir):
+            short_batches(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
         return fn

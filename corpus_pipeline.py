@@ -19,16 +19,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlake.llm import bpe, decontamination, ngram_join, substring, toxicity
-from cohortlake.llm.common import frame_of, whole_rows, written
+from cohortlake.llm.common import frame_of, short_batches, whole_rows, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     rows = toxicity.training_rows(docs, frame_of(spark, sf_dir, "labels"))
     scored = toxicity.score(docs.select(whole_rows(docs), "text"), toxicity.fit(rows))
     return scored.where("predicted = 0").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     _, found = ngram_join.join(docs)
     # ids that aren't the least of their component
     worse = found.where("component_id != doc_id").select("doc_id").distinct()
@@ -40,6 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     cut = substring.dedup(docs.select("doc_id", "text", whole_rows(docs))).where("n_words = 0 or n_removed < n_words")
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
@@ -48,10 +51,12 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return decontamination.clean(docs, frame_of(spark, sf_dir, "benchmark"))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     coded = bpe.decode(bpe.encode(docs))
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
