@@ -5,11 +5,13 @@ are sequences of words (lower case, without ASCII punctuation), an edit inserts,
 
 The CGK embedding walks over a sequence: each step writes the current word and moves on or stays, by a random bit for
 that step and word. Walks over two sequences meet again after an edit, so that few edits become few Hamming
-differences. A walk of 2L steps covers some L words. Items are grouped by length in [L, 2L), up to ``SEGMENT``; longer ones
-are cut into segments of that many words, of which one at least has no more than its share of edits. Every word of
-a document starts a window, walked for as many steps as the group's. Per walk, ``TABLES`` samples of ``SAMPLED`` steps
-are hashed; a window that agrees with an item in one of them, and in a share ``AGREE`` of all steps of one walk, is a
-candidate, and counts if its exact edit distance (free ends on the document's side) is low enough. ``WALKS`` * ``TABLES`` repetitions reach the recall measured in the tests.
+differences. A walk of 2L steps covers some L words. An item of n words is indexed by all its segments of L words, L the
+power of two up to (n + 1) / 2, ``SEGMENT`` at most, from the one at its start to the one that ends with it. With all
+offsets in the index, windows of a document need to start at every (L / 2)th word only: of a leak, two windows or more meet
+the segments that they are copies of, wherever its edits lie. Per walk, ``TABLES`` samples of ``SAMPLED`` of all its steps are
+hashed; a window that agrees with a segment in one of them is a candidate if enough words around it are the item's, and
+counts if the exact edit distance (free ends on the document's side) is low enough. ``WALKS`` * ``TABLES`` repetitions reach the
+recall measured in the tests. Items of up to six words are found by any two words in a row (one has no edit), so all.
 
 Items are handled in blocks of at most ``AT_ONCE`` words, each broadcast and matched with all documents, so no bound on
 their number is assumed. Documents never move.
@@ -31,13 +33,13 @@ from cohortlake.llm.shingles import word_hashes
 
 RATE = 0.2
 SEGMENT = 32
-WALKS = 3
-TABLES = 8
+WALKS = 4
+TABLES = 16
 SAMPLED = 3
-#: Least share of steps at which a candidate's embedding must agree with the item's, far below that of true pairs.
-AGREE = 0.08
-AT_ONCE = 1 << 22
-STEP = 1 << 15  # windows that are walked together
+#: Least steps between two of a sample: neighbouring ones often show the same word.
+APART = 3
+AT_ONCE = 1 << 17
+STEP = 1 << 16  # words whose windows are walked together
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in bytes(range(256)).lower())
 
 
@@ -47,14 +49,25 @@ def words(text: bytes | None) -> np.ndarray:
 
 # -- embedding and hashing -------------------------------------------------------------------------------------------
 
+def length_of(n: int) -> int:
+    """The words of an item's segments."""
+    return min(n, 2) if n < 7 else min(SEGMENT, 1 << ((n + 1) // 2).bit_length() - 1)
+
+
+def stride(low: int) -> int:
+    """From so many words on a document starts one window, for segments of ``low`` words."""
+    return max(1, low // 2)
+
+
 @lru_cache
 def samples(low: int) -> list[list[np.ndarray]]:
-    """Per walk and table, the steps that are sampled for the group of items from ``low`` words on."""
+    """Per walk and table, the steps that are sampled for segments of ``low`` words."""
+    if low <= 2:
+        return [[np.arange(low)]]
     rng = np.random.default_rng(low)
-    n = min(SAMPLED, 2 * low)
-    # one step of each of n stretches: neighbouring steps often show the same word
-    edges = np.linspace(0, 2 * low, n + 1).astype(int)
-    return [[np.array([rng.integers(a, b) for a, b in zip(edges, edges[1:])]) for _ in range(TABLES)] for _ in range(WALKS)]
+    apart = min(APART, (2 * low - 1) // SAMPLED)
+    spread = np.arange(SAMPLED) * (apart - 1)
+    return [[np.sort(rng.choice(2 * low - spread[-1], SAMPLED, replace=False)) + spread for _ in range(TABLES)] for _ in range(WALKS)]
 
 
 def moves(h: np.ndarray, walk: int) -> np.ndarray:
@@ -62,36 +75,22 @@ def moves(h: np.ndarray, walk: int) -> np.ndarray:
     return mix64(h ^ mix64(np.array([walk + 1], np.uint64)))
 
 
-def hashes(h: np.ndarray, starts: np.ndarray, lows: list[int]) -> dict[tuple[int, int, int], np.ndarray]:
-    """By group, walk and table, the hash of the sampled steps of the windows from ``starts``. ``h`` goes on for
-    2 * SEGMENT words after the last start."""
-    out = {}
-    for walk in range(WALKS):
-        wanted: dict[int, list[tuple[int, int, int]]] = {}
-        for low in lows:
-            for table, steps in enumerate(samples(low)[walk]):
-                out[low, walk, table] = np.full(starts.size, low * 64 + walk * 8 + table, np.uint64)
-                for k, step in enumerate(steps.tolist()):
-                    wanted.setdefault(step, []).append((low, table, k))
-        at, bits = starts.copy(), moves(h, walk)
-        for step in range(max(wanted) + 1):
-            if step in wanted:
-                word = h[at]
-                for k in range(SAMPLED):
-                    if any(x[2] == k for x in wanted[step]):
-                        part = word * _PLACES[k]
-                        for low, table, place in wanted[step]:
-                            if place == k:
-                                out[low, walk, table] += part
-            at += ((bits >> np.uint64(step)) & np.uint64(1)).astype(np.int8)[at]
-    return out
-
-
-def embedding(h: np.ndarray, starts: np.ndarray, walk: int, steps: int) -> np.ndarray:
-    """The words that the walk from each start shows, [start, step]."""
-    out, at, bits = np.empty((starts.size, steps), np.uint64), starts.copy(), moves(h, walk)
-    for step in range(steps):
-        out[:, step] = h[at]
+def hashes(h: np.ndarray, bits: np.ndarray, starts: np.ndarray, low: int, walk: int) -> list[np.ndarray]:
+    """By table, the hash of the sampled steps of the windows from ``starts``. ``h`` goes on for 2 * SEGMENT words after the
+    last start; ``bits`` are its moves."""
+    wanted: dict[int, list[tuple[int, int]]] = {}
+    for table, steps in enumerate(samples(low)[walk]):
+        for k, step in enumerate(steps.tolist()):
+            wanted.setdefault(step, []).append((k, table))
+    out = [np.full(starts.size, table, np.uint64) for table in range(len(samples(low)[walk]))]
+    at = starts.copy()
+    for step in range(max(wanted) + 1):
+        if step in wanted:
+            word, last = h[at], None
+            for k, table in sorted(wanted[step]):
+                if k != last:
+                    part, last = word * _PLACES[k], k
+                out[table] += part
         at += ((bits[at] >> np.uint64(step)) & np.uint64(1)).astype(np.int64)
     return out
 
@@ -100,63 +99,85 @@ _PLACES = mix64(np.arange(101, 101 + SAMPLED, dtype=np.uint64)) | np.uint64(1)
 _TOP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def slot(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys * _TOP) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 class Index:
     """The segments of a block of items by the hashes of their samples."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
+    def __init__(self, items: list[tuple[int, np.ndarray]], rate: float = RATE):
         self.items = items
-        segments: dict[int, list[tuple[int, int]]] = {}  # (item, offset) by group
-        for k, (_, h) in enumerate(items):
-            for at in range(0, max(1, h.size - SEGMENT + 1), SEGMENT) if h.size >= 2 * SEGMENT else [0]:
-                if h.size:
-                    low = min(SEGMENT, 1 << (int(h.size).bit_length() - 1))
-                    segments.setdefault(low, []).append((k, at))
-        self.lows = sorted(segments)
-        self.tables, self.shown, self.segments = {}, {}, {}
-        for low, own in segments.items():
-            # what follows a segment in its item follows it here too, as it does in a document
-            h = np.concatenate([np.concatenate([items[k][1][at:at + 2 * SEGMENT], np.zeros(max(0, 2 * SEGMENT - (items[k][1].size - at)), np.uint64)]) for k, at in own])
-            h = np.concatenate([h, np.zeros(2 * SEGMENT, np.uint64)])
-            for (_, walk, table), sig in hashes(h, np.arange(len(own)) * 2 * SEGMENT, [low]).items():
-                order = np.argsort(sig, kind="stable")
-                hit = np.zeros(1 << 16, bool)
-                hit[((sig * _TOP) >> np.uint64(48)).astype(np.int64)] = True
-                self.tables[low, walk, table] = hit, sig[order], order
-            for walk in range(WALKS):
-                self.shown[low, walk] = embedding(h, np.arange(len(own)) * 2 * SEGMENT, walk, 2 * low)
-            self.segments[low] = np.array(own, np.int64)
-
-    def candidates(self, h: np.ndarray, count: int) -> np.ndarray:
-        """Rows (start, item, offset) for the windows from the first ``count`` words."""
+        sizes = np.array([h.size for _, h in items], np.int64)
+        self.sizes, self.most = sizes, (rate * sizes).astype(np.int64)
+        segments: dict[int, list[np.ndarray]] = {}  # (item, offset) by the segments' length
+        for k, n in enumerate(sizes.tolist()):
+            if n:
+                at = np.arange(n - length_of(n) + 1)
+                segments.setdefault(length_of(n), []).append(np.column_stack([np.full(at.size, k), at]))
+        # what follows a segment in its item follows it here too, as it does in a document
+        gap = np.zeros(2 * SEGMENT, np.uint64)
+        h = np.concatenate([x for _, item in items for x in (item, gap)] or [gap])
+        firsts = np.cumsum(sizes + gap.size) - sizes - gap.size
+        self.tables, self.segments = {}, {low: np.concatenate(own) for low, own in segments.items()}
+        for walk in range(WALKS):
+            bits = moves(h, walk)
+            for low, own in self.segments.items():
+                if walk < len(samples(low)):
+                    self.tables[low, walk] = []
+                    for sig in hashes(h, bits, firsts[own[:, 0]] + own[:, 1], low, walk):
+                        order = np.argsort(sig, kind="stable")
+                        hit = np.zeros(1 << min(20, sig.size.bit_length() + 3), bool)
+                        hit[slot(sig, hit.size.bit_length() - 1)] = True
+                        self.tables[low, walk].append((hit, sig[order], order.astype(np.int32)))
+        # which words each item has, as bits of a filter
+        self.bits = max(12, int(sizes.sum()).bit_length() + 4)
+        self.has = np.zeros(1 << self.bits, bool)
+        self.salts = mix64(np.arange(1, len(items) + 1, dtype=np.uint64))
+        for salt, (_, item) in zip(self.salts, items):
+            self.has[slot(mix64(item ^ salt), self.bits)] = True
+
+    def candidates(self, h: np.ndarray, count: int, sizes: np.ndarray | None = None) -> np.ndarray:
+        """Rows (start, item, offset) for the windows from the first ``count`` words, of documents of ``sizes`` words."""
+        sizes = np.array([count]) if sizes is None else sizes
+        place = np.arange(count) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         found: dict[int, list[np.ndarray]] = {}
         for a in range(0, count, STEP):
             b = min(a + STEP, count)
             part = h[a:b + 2 * SEGMENT + 1]
-            for key, sig in hashes(part, np.arange(b - a), self.lows).items():
-                hit, known, own = self.tables[key]
-                maybe = np.flatnonzero(hit[((sig * _TOP) >> np.uint64(48)).astype(np.int64)])
-                lo, hi = np.searchsorted(known, sig[maybe], "left"), np.searchsorted(known, sig[maybe], "right")
-                maybe, lo, n = maybe[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-                if maybe.size:
-                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-                    found.setdefault(key[0], []).append(np.repeat(maybe + a, n) << 32 | own[at])
+            starts = {low: np.flatnonzero(place[a:b] % stride(low) == 0) for low in self.segments}
+            for walk in range(WALKS):
+                bits = moves(part, walk)
+                for low in self.segments:
+                    if (low, walk) not in self.tables:
+                        continue
+                    for sig, (hit, known, own) in zip(hashes(part, bits, starts[low], low, walk), self.tables[low, walk]):
+                        maybe = np.flatnonzero(hit[slot(sig, hit.size.bit_length() - 1)])
+                        lo, hi = np.searchsorted(known, sig[maybe], "left"), np.searchsorted(known, sig[maybe], "right")
+                        maybe, lo, n = maybe[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+                        if maybe.size:
+                            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+                            found.setdefault(low, []).append(np.repeat(starts[low][maybe] + a, n) << 32 | own[at])
         out = []
         for low, parts in found.items():
             pairs = np.unique(np.concatenate(parts))
-            start, segment = pairs >> 32, pairs & 0xFFFFFFFF
-            for a in range(0, pairs.size, STEP):
-                own, seg = start[a:a + STEP], segment[a:a + STEP]
-                # only the words around these windows take part
-                span = np.arange(2 * SEGMENT + 1)
-                near = h[own[:, None] + span]
-                alike = np.zeros(own.size, np.int64)
-                for walk in range(WALKS):
-                    shown = embedding(near.ravel(), np.arange(own.size) * span.size, walk, 2 * low)
-                    alike = np.maximum(alike, (shown == self.shown[low, walk][seg]).sum(axis=1))
-                keep = alike >= AGREE * 2 * low
-                out.append(np.column_stack([own[keep], self.segments[low][seg[keep]]]))
+            rows = np.column_stack([pairs >> 32, self.segments[low][pairs & 0xFFFFFFFF]])
+            out += [own[self.enough(h[:count], own)] for own in np.split(rows, range(STEP >> 3, len(rows), STEP >> 3))]
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
+    def enough(self, h: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Whether the stretch around each candidate has as many words of the item as any stretch that is close enough."""
+        # segments of one item in one place share a stretch
+        key, back = np.unique((rows[:, 0] - rows[:, 2] + (1 << 20)) * len(self.items) + rows[:, 1], return_inverse=True)
+        item, at = key % len(self.items), key // len(self.items) - (1 << 20)
+        n, most = self.sizes[item], self.most[item]
+        left = np.maximum(at - most, 0)
+        width = np.minimum(at + n + most, h.size) - left
+        ends = np.cumsum(width)
+        words = h[np.arange(ends[-1]) + np.repeat(left - ends + width, width)]
+        own = self.has[slot(mix64(words ^ np.repeat(self.salts[item], width)), self.bits)]
+        return (np.add.reduceat(own, ends - width, dtype=np.int64) >= n - most)[back]
+
 
 # -- verification ----------------------------------------------------------------------------------------------------
 
@@ -232,7 +253,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_te
     out = None
 
     def search(block):
-        index = spark.sparkContext.broadcast(Index(block))
+        index = spark.sparkContext.broadcast(Index(block, rate))
 
         def run(batches):
             ix = index.value
@@ -240,7 +261,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_te
                 for part in slices(batch, "text", 4 << 20):
                     h, sizes = word_hashes(texts(part.column("text")), _TABLE)
                     ends = np.cumsum(sizes)
-                    found = ix.candidates(np.concatenate([h, np.zeros(2 * SEGMENT + 1, np.uint64)]), int(ends[-1]))
+                    found = ix.candidates(np.concatenate([h, np.zeros(2 * SEGMENT + 1, np.uint64)]), int(ends[-1]), sizes)
                     of = np.searchsorted(ends, found[:, 0], "right")
                     cuts = np.searchsorted(of, np.arange(sizes.size + 1))
                     ids, rows = part.column("doc_id").to_pylist(), []
