@@ -35,3 +35,21 @@ def test_op5_recall_wherever_the_edits_lie(where):
                 hits = index.candidates(np.concatenate([h, np.zeros(2 * decontamination.SEGMENT + 1, np.uint64)]), h.size)
                 found += any(x[0] == k for x in decontamination.leaks(h, hits, items, decontamination.RATE))
             assert found >= 0.9 * len(items), (n, kind, found)
+
+
+def test_op5_segments_cover_items():
+    """Every word of an item lies in an indexed segment, and edits may fill any one of them."""
+    r = np.random.default_rng(11)
+    for n in [*range(1, 40), 63, 64, 95, 127, 200]:
+        item = r.integers(1, 1 << 60, n).astype(np.uint64)
+        index = decontamination.Index([(1, item)])
+        (low, own), = index.segments.items()
+        assert {at + j for _, at in own.tolist() for j in range(low)} == set(range(n))
+        # a document with this part of the item alone, at any place
+        for at in {0, (n - low) // 2, n - low}:
+            for before in range(decontamination.stride(low)):
+                part = item[at:at + 2 * low - 1] if n >= 7 else item[at:at + low]
+                h = np.concatenate([np.full(before, 5, np.uint64), part])
+                index.most[:] = n  # the filter by number of words is not what is looked at here
+                if part.size >= min(n, low + decontamination.stride(low) - 1):
+                    assert len(index.candidates(np.concatenate([h, np.zeros(2 * decontamination.SEGMENT + 1, np.uint64)]), h.size)), (n, at, before)
