@@ -13,6 +13,7 @@ window, of which each task sends on its earliest place alone and knows that the
 
 Cases: a null or empty text has no words, texts shorter than a window lose none; rows of equal id are the same
 document, so they don't make each other go; a null id is later than all others; an empty table gives an empty one.
+What goes is kept by id and a hash of the text, so that rows of one id or without one lose only words of their own.
 A text that loses nothing stays as it is; else its words are joined by one blank. Other columns stay; one with
 the name of a result column is replaced.
 """
@@ -22,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cohortlake.llm.common import release, slices, texts, whole_rows, words_of, written
 from cohortlake.llm.shingles import rolling, word_hashes
@@ -68,11 +69,11 @@ def windows(sizes: np.ndarray, width: int) -> np.ndarray:
 
 def blocks(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     """Rows (bucket, chunk, kind, data) with kind 0: hash and place of the chunk's blocks in a bucket, 1: places that are
-    hits already, 2: ids and sizes of the chunk's documents."""
+    hits already, 2: ids, keys and sizes of the chunk's documents."""
     block = (window + 1) // 2
     names = ["bucket", "chunk", "kind", "data", "more", "fixed"]
 
-    def pack(ids, sizes, hashes, chunk):
+    def pack(ids, keys, sizes, hashes, chunk):
         sizes = np.array(sizes, np.int64)
         h = np.concatenate(hashes)
         place = windows(sizes, block)
@@ -87,7 +88,7 @@ def blocks(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         many = np.repeat(counts > 1, counts)
         if starts.size:
             any_fixed = np.logical_or.reduceat(fixed, starts)
-        rows = [(chunk % buckets, chunk, 2, planes(np.array(ids, np.int64).view(np.uint64), 8), sizes.astype("<i8").tobytes(), None)]
+        rows = [(chunk % buckets, chunk, 2, planes(np.array(ids + keys, np.int64).view(np.uint64), 8), sizes.astype("<i8").tobytes(), None)]
         if many.any():
             rows.append((chunk % buckets, chunk, 1, np.sort(place[many]).astype("<u4").tobytes(), None, None))
         if starts.size:
@@ -102,20 +103,21 @@ def blocks(docs: DataFrame, window: int, buckets: int) -> DataFrame:
 
     def run(batches):
         chunk = TaskContext.get().partitionId() << 24  # the same in every attempt
-        ids, sizes, hashes, held = [], [], [], 0
+        ids, keys, sizes, hashes, held = [], [], [], [], 0
         for batch in batches:
             for piece in slices(batch, "text"):
                 h, n = word_hashes(texts(piece.column("text")))
                 ids += piece.column("doc_id").to_pylist()
+                keys += piece.column("key").to_pylist()
                 sizes += n.tolist()
                 hashes.append(h)
                 held += h.size
                 if held > CHUNK:
-                    yield pack(ids, sizes, hashes, chunk)
+                    yield pack(ids, keys, sizes, hashes, chunk)
                     chunk += 1
-                    ids, sizes, hashes, held = [], [], [], 0
+                    ids, keys, sizes, hashes, held = [], [], [], [], 0
         if ids:
-            yield pack(ids, sizes, hashes, chunk)
+            yield pack(ids, keys, sizes, hashes, chunk)
     return docs.mapInArrow(run, "bucket int, chunk long, kind int, data binary, more binary, fixed binary")
 
 
@@ -145,48 +147,54 @@ def match(packed: DataFrame) -> DataFrame:
 
 
 def hits_by_document(matched: DataFrame) -> DataFrame:
-    """(doc_id, hits): the word positions of each document's hits, packed."""
+    """(doc_id, key, hits): the word positions of each row's hits, packed."""
     def one(table: pa.Table) -> pa.Table:
         rows = table.to_pydict()
         own = rows["kind"].index(2)
-        ids, sizes = numbers(rows["data"][own], 8).view(np.int64), np.frombuffer(rows["more"][own], "<i8")
+        (ids, keys), sizes = np.split(numbers(rows["data"][own], 8).view(np.int64), 2), np.frombuffer(rows["more"][own], "<i8")
         places = [np.frombuffer(d, "<u4") for d, kind in zip(rows["data"], rows["kind"]) if kind == 1]
         places = np.unique(np.concatenate(places)).astype(np.int64) if places else np.zeros(0, np.int64)
         ends = np.cumsum(sizes)
         doc = np.searchsorted(ends, places, "right")
         starts, counts = groups(doc)
         data = [(places[a:a + n] - (ends[doc[a]] - sizes[doc[a]])).astype("<u4").tobytes() for a, n in zip(starts, counts)]
-        return pa.table([pa.array(ids[doc[starts]], pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "hits"])
+        return pa.table([pa.array(ids[doc[starts]], pa.int64()), pa.array(keys[doc[starts]], pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "key", "hits"])
     # a chunk's hits come from one task each and are as many as its words at most
-    return matched.groupBy("chunk").applyInArrow(one, "doc_id long, hits binary")
+    return matched.groupBy("chunk").applyInArrow(one, "doc_id long, key long, hits binary")
 
 
 # -- 2. windows ------------------------------------------------------------------------------------------------------
 
 def places_to_go(found: DataFrame, window: int) -> DataFrame:
-    """(doc_id, gone): for rows (doc_id, text, hits), the starts of windows that are found earlier, packed; a document
-    may have several rows."""
+    """(doc_id, key, at, gone): for rows (doc_id, key, text, hits), the starts of windows that are found earlier, one by one or
+    packed; a row may have several."""
     block = (window + 1) // 2
-    names = ["h1", "h2", "doc_id", "at", "gone"]
+    names = ["h1", "h2", "doc_id", "key", "at", "tied", "gone"]
 
     def pack(held):
-        doc = np.repeat(np.array([d for d, _, _, _ in held], np.int64), [p.size for _, p, _, _ in held])
-        at, h1, h2 = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
-        order = np.lexsort((at, doc, h2, h1))
-        doc, at, h1, h2 = doc[order], at[order], h1[order], h2[order]
+        doc, key = (np.repeat(np.array([x[k] for x in held], np.int64), [x[2].size for x in held]) for k in (0, 1))
+        at, h1, h2 = (np.concatenate([x[k] for x in held]) for k in (2, 3, 4))
+        order = np.lexsort((key, at, doc, h2, h1))
+        doc, key, at, h1, h2 = doc[order], key[order], at[order], h1[order], h2[order]
         first = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
         # equal to the earliest place here: the same document in another row
         lead = np.maximum.accumulate(np.where(first, np.arange(first.size), 0))
         later = (doc != doc[lead]) | (at != at[lead])
-        yield pa.RecordBatch.from_arrays([pa.array(h1[first].view(np.int64)), pa.array(h2[first].view(np.int32)), pa.array(doc[first]), pa.array(at[first].astype(np.int32)), pa.nulls(int(first.sum()), pa.binary())], names)
-        order = np.lexsort((at[later], doc[later]))
-        doc, at = doc[later][order], at[later][order]
-        starts, counts = groups(doc)
+        again = np.concatenate([[False], (key[1:] == key[:-1]) & (at[1:] == at[:-1]) & (doc[1:] == doc[:-1])]) & ~first
+        # rows of other texts in that place share its fate and go with it
+        tied = np.flatnonzero(~first & ~later & ~again)
+        many = np.bincount((np.cumsum(first) - 1)[tied], minlength=int(first.sum()))
+        others = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(key[tied]), mask=pa.array(many == 0))
+        yield pa.RecordBatch.from_arrays([pa.array(h1[first].view(np.int64)), pa.array(h2[first].view(np.int32)), pa.array(doc[first]), pa.array(key[first]), pa.array(at[first].astype(np.int32)), others, pa.nulls(int(first.sum()), pa.binary())], names)
+        later &= ~again
+        order = np.lexsort((at[later], key[later], doc[later]))
+        doc, key, at = doc[later][order], key[later][order], at[later][order]
+        starts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if doc.size else np.zeros(0, np.int64)
         n = starts.size
         if n:
-            data = [at[a:a + c].astype("<u4").tobytes() for a, c in zip(starts, counts)]
+            data = [at[a:b].astype("<u4").tobytes() for a, b in zip(starts, np.append(starts[1:], doc.size))]
             # rows that have their answer go through the same exchange under keys of their own
-            yield pa.RecordBatch.from_arrays([pa.array(doc[starts]), pa.nulls(n, pa.int32()), pa.array(doc[starts]), pa.nulls(n, pa.int32()), pa.array(data, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(key[starts]), pa.nulls(n, pa.int32()), pa.array(doc[starts]), pa.array(key[starts]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64())), pa.array(data, pa.binary())], names)
 
     def run(batches):
         held, size = [], 0
@@ -194,7 +202,7 @@ def places_to_go(found: DataFrame, window: int) -> DataFrame:
             for piece in slices(batch, "text"):
                 whole, sizes = word_hashes(texts(piece.column("text")))
                 ends = np.cumsum(sizes)
-                for doc, a, b, hits in zip(piece.column("doc_id").to_pylist(), ends - sizes, ends, piece.column("hits").to_pylist()):
+                for doc, key, a, b, hits in zip(piece.column("doc_id").to_pylist(), piece.column("key").to_pylist(), ends - sizes, ends, piece.column("hits").to_pylist()):
                     h = whole[a:b]
                     n = h.size - window + 1
                     if n <= 0:
@@ -206,34 +214,40 @@ def places_to_go(found: DataFrame, window: int) -> DataFrame:
                     np.add.at(hit, np.maximum(at - (window - block), 0), 1)
                     np.add.at(hit, at + 1, -1)
                     p = np.flatnonzero(np.cumsum(hit)[:n] > 0)
-                    held.append((doc, p, rolling(h, window)[p], (rolling(h * np.uint64(0x9E3779B97F4A7C15) ^ (h >> np.uint64(32)), window)[p] >> np.uint64(32)).astype(np.uint32)))
+                    held.append((doc, key, p, rolling(h, window)[p], (rolling(h * np.uint64(0x9E3779B97F4A7C15) ^ (h >> np.uint64(32)), window)[p] >> np.uint64(32)).astype(np.uint32)))
                     size += p.size
                 if size > CHUNK:
                     yield from pack(held)
                     held, size = [], 0
         if held:
             yield from pack(held)
-    rows = found.mapInArrow(run, "h1 long, h2 int, doc_id long, at int, gone binary")
+    rows = found.mapInArrow(run, "h1 long, h2 int, doc_id long, key long, at int, tied array<long>, gone binary")
     place = F.struct("doc_id", "at")
     rows = rows.withColumn("first", F.min(place).over(W.partitionBy("h1", "h2")))
     rows = rows.where(F.col("gone").isNotNull() | (place != F.col("first")))
-    return rows.select("doc_id", "at", "gone")
+    keys = F.concat(F.array("key"), F.coalesce("tied", F.array().cast("array<long>")))
+    return rows.select("doc_id", F.explode(keys).alias("key"), "at", "gone")
 
 
 # -- the operator ----------------------------------------------------------------------------------------------------
 
+def place_of(text: str) -> list[Column]:
+    """The id that orders documents, and what tells rows of one id, or without one, from each other."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("key")]
+
+
 def repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, gone): per document that loses words, the packed starts of its windows found earlier."""
+    """(doc_id, key, at, gone): per row that loses words, the starts of its windows found earlier, also packed."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(*place_of(text), F.col(text).alias("text"))
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     matched = written(match(blocks(rows, window, buckets)), "anchors")
     release(spark)
-    hits = hits_by_document(matched)
-    found = rows.join(hits.groupBy("doc_id").agg(F.collect_list("hits").alias("hits")).select("doc_id", F.array_join(F.transform("hits", lambda x: F.hex(x)), "").alias("hits")), "doc_id")
-    found = found.withColumn("hits", F.unhex("hits"))
+    # of rows equal in id and text, each has hits in all its repeated windows, so those of one do
+    hits = hits_by_document(matched).dropDuplicates(["doc_id", "key"])
+    found = rows.join(hits, ["doc_id", "key"])
     gone = places_to_go(found, window)
-    gone = gone.groupBy("doc_id").agg(F.collect_list("at").alias("at"), F.collect_list("gone").alias("gone"))
+    gone = gone.groupBy("doc_id", "key").agg(F.collect_list("at").alias("at"), F.collect_list("gone").alias("gone"))
     out = written(gone, "repeats")
     release(spark)
     return out
@@ -266,9 +280,7 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFram
         spans = pa.array([[{"start": x, "stop": y} for x, y in s] for s in columns[3]], pa.list_(span))
         return pa.StructArray.from_arrays([pa.array(list(columns[0]), pa.binary()).cast(pa.string()), pa.array(list(columns[1]), pa.int64()), pa.array(list(columns[2]), pa.int64()), spans], ["text", "n_words", "n_removed", "spans"])
 
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    gone = gone.select(F.col("doc_id").alias("key"), "at", "gone")
-    joined = docs.select(whole_rows(docs), key.alias("key"), F.col(text).alias("t")).join(gone, "key", "left")
+    joined = docs.select(whole_rows(docs), *place_of(text), F.col(text).alias("t")).join(gone, ["doc_id", "key"], "left")
     joined = joined.withColumn("cut", cut.asNondeterministic()("t", "at", "gone"))
     rest = [c for c in docs.columns if c not in ("n_words", "n_removed", "spans")]
     return joined.select(*[F.col("cut.text").alias(text) if c == text else F.col("row").getField(c).alias(c) for c in rest], "cut.n_words", "cut.n_removed", "cut.spans")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from cohortlake.llm import decontamination
+from cohortlake.llm import decontamination, substring
 
 
 def edited(item: np.ndarray, where: str, kind: str, r) -> np.ndarray:
@@ -53,3 +53,20 @@ def test_op5_segments_cover_items():
                 index.most[:] = n  # the filter by number of words is not what is looked at here
                 if part.size >= min(n, low + decontamination.stride(low) - 1):
                     assert len(index.candidates(np.concatenate([h, np.zeros(2 * decontamination.SEGMENT + 1, np.uint64)]), h.size)), (n, at, before)
+
+
+def test_op3_rows_without_an_id_lose_only_their_own_words(spark):
+    r = np.random.default_rng(5)
+    def text(n):
+        return " ".join(f"w{k}" for k in r.integers(1 << 40, size=n))
+    known, shared = text(120), text(40)
+    rows = [(1, known), (None, known + " " + text(80)), (None, text(200)), (None, text(200)), (None, known + " " + text(50)),
+            (7, shared + " " + text(100)), (7, text(140)), (9, text(30) + " " + shared), (9, text(70)), (9, text(70))]
+    # the first two rows without an id hold the known text in one place, and so do equal rows
+    rows.append(rows[1])
+    want = [0, 120, 0, 0, 120, 0, 0, 40, 0, 0, 120]
+    for parts in (1, 4):
+        frame = spark.createDataFrame([(*x, k) for k, x in enumerate(rows)], "doc_id long, text string, k int").repartition(parts, "k")
+        got = {x["k"]: (x["n_removed"], x["text"]) for x in substring.dedup(frame).collect()}
+        assert [got[k][0] for k in range(len(rows))] == want
+        assert all(got[k][1] == rows[k][1] for k, n in enumerate(want) if not n)
