@@ -33,7 +33,7 @@ from cohortlake.llm.shingles import split_words
 
 FOLDS, HELD_OUT = 7, 2
 FREQUENT = 1 << 17
-VOCABULARY = 2068
+VOCABULARY = 8190
 ROUNDS = 3
 RATE = 0.1
 #: Bytes of text that a task reads or trains on at once.

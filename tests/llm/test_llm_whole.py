@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from cohortlake.llm import decontamination, substring
+from cohortlake.llm import decontamination, gru, lm, substring
 
 
 def edited(item: np.ndarray, where: str, kind: str, r) -> np.ndarray:
@@ -70,3 +70,10 @@ def test_op3_rows_without_an_id_lose_only_their_own_words(spark):
         got = {x["k"]: (x["n_removed"], x["text"]) for x in substring.dedup(frame).collect()}
         assert [got[k][0] for k in range(len(rows))] == want
         assert all(got[k][1] == rows[k][1] for k, n in enumerate(want) if not n)
+
+
+def test_op10_frequent_words_have_rows_of_their_own():
+    words = lm.Vocabulary([b"w%d" % k for k in range(10000)], np.arange(10000, 0, -1), 10, 50005010, 10001)
+    assert words.ids(np.array([0, 5000, 8189])).tolist() == [2, 5002, 8191] and words.ids(np.array([8190, -1])).tolist() == [gru.OTHER] * 2
+    model = gru.Gru(words.size)
+    assert model.p["x"].shape == (8193, 96) and model.hidden == 32
