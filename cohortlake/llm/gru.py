@@ -157,18 +157,22 @@ class Gru:
         stream = np.concatenate(docs)
         before = np.concatenate([np.concatenate([[START], d[:-1]]) for d in docs])
         lanes = int(np.clip(stream.size // (4 * WINDOW), 1, LANES))
-        steps = stream.size // lanes
-        shape = lambda a: np.ascontiguousarray(a[:steps * lanes].reshape(lanes, steps).T)
-        targets, tokens = shape(stream), shape(before)
+        steps = -(-stream.size // lanes)
+        # places after the last token are starts without a target
+        shape = lambda a, fill: np.ascontiguousarray(np.append(a, np.full(steps * lanes - a.size, fill, a.dtype)).reshape(lanes, steps).T)
+        targets, tokens, used = shape(stream, END), shape(before, START), shape(np.ones(stream.size, bool), False)
         h = np.zeros((lanes, self.hidden), np.float32)
         for a in range(0, steps, WINDOW):
             t, y = tokens[a:a + WINDOW], targets[a:a + WINDOW]
             fresh, keep, grads = t == START, [], {}
             states, h = self.forward(t, fresh, h, keep)
-            self.log_probs(states.reshape(-1, self.hidden), y.ravel(), grads)
-            self.backward(t, fresh, keep, grads.pop("states").reshape(states.shape), grads)
+            own = used[a:a + WINDOW]
+            self.log_probs(states[own], y[own], grads)
+            back = np.zeros_like(states)
+            back[own] = grads.pop("states")
+            self.backward(t, fresh, keep, back, grads)
             self.update(grads, rate, squares)
-        return steps * lanes
+        return stream.size
 
     def update(self, grads: dict, rate: float, squares: dict) -> None:
         """Adagrad; rows and classes without a gradient stay untouched."""

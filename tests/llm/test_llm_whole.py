@@ -77,3 +77,12 @@ def test_op10_frequent_words_have_rows_of_their_own():
     assert words.ids(np.array([0, 5000, 8189])).tolist() == [2, 5002, 8191] and words.ids(np.array([8190, -1])).tolist() == [gru.OTHER] * 2
     model = gru.Gru(words.size)
     assert model.p["x"].shape == (8193, 96) and model.hidden == 32
+
+
+def test_op10_trains_on_every_token():
+    # 515 tokens in four lanes: the last three were left out
+    docs = [np.array([2] * 511 + [gru.END]), np.array([3, 4, gru.END])]
+    model = gru.Gru(6, hidden=4, group=3)
+    start = model.of(model.flat())
+    assert model.train(docs, 0.1, {}) == 515
+    assert (model.p["x"][[3, 4]] != start.p["x"][[3, 4]]).any(axis=1).all()
