@@ -340,13 +340,15 @@ def _(u):
 @register("fitted_model_metrics", gold=True)
 def _(u):
     """Four MLlib candidates fitted on the older semesters and compared on the newest two."""
-    return T.compare_candidates(split_rows(u), T.candidates(small=True))
+    return T.compare_candidates(split_rows(u), T.candidates())
 
 
 @register("fitted_bundle_scores", gold=True)
 def _(u):
     """Students scored by a bundle of models refitted on all labelled semesters."""
-    bundle = T.fit_bundle(u.dataset, T.candidates(small=True)["Logistic Regression"], "Logistic Regression", THRESHOLD, small=True)
+    models = T.candidates()
+    best = T.compare_candidates(split_rows(u), models).where("IsBest = 1 AND Split = 'validation'").first()
+    bundle = T.fit_bundle(u.dataset, models[best["Model"]], best["Model"], best["Threshold"])
     rows = R.to_score(u.dataset)
     return R.score_students(rows, bundle.scorer, bundle.baseline, bundle.threshold, bundle.model_name,
                             F.lit("2002-01-01 00:00:00").cast("timestamp"))
