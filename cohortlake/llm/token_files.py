@@ -26,6 +26,7 @@ from io import BytesIO
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -38,10 +39,15 @@ TOKENIZER = "byte_bpe_50k.json"
 BLOCK = 4096
 MAGIC = b"TKB1"
 END_ID = 0
-#: So many words are remembered by a worker before it starts anew; a bound on memory only.
-MEMORY = 400_000
-#: Characters of words that are encoded as one string.
-LINE = 4096
+#: Units that are encoded as one string.
+LINE = 512
+LINE_FEED = "\u010a"  # how byte-level vocabularies write it
+#: A blank after what str.isspace() takes for white space.
+BLANK_AFTER_SPACE = r"[\t-\r\x1c-\x1f\x{85}\p{Z}] "
+#: A unit that begins with a blank and ends in no white space.
+STANDS_BEFORE_BLANK = r"(?s)^ .*[^\t-\r\x1c-\x1f\x{85}\p{Z}]$"
+#: The marks that close a sentence, with closing quotes and brackets.
+SENTENCE_END = "[.!?\u3002\uff01\uff1f][\"')\\]\u00bb\u201d\u2019]*$"
 MANIFEST = "shard int, file string, bits int, documents long, tokens long"
 
 
@@ -151,78 +157,106 @@ class Reader:
 
 class Encoder:
     """The ids of whole texts. A text is a row of units, each a word with the white space before it: a byte-level
-    pre-tokenizer never joins what stands before a blank with it, so units are encoded by themselves, the new ones of a
-    batch in one string, and known ones are looked up."""
+    pre-tokenizer never joins what stands before a blank with it, so units can be encoded by themselves. The distinct units
+    of a slice are found in Arrow and encoded once, many in one string; their ids are then put in place by numpy."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         # in a byte-level vocabulary, each character of a token stands for one byte
-        self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.vocabulary)])
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.at = np.zeros(1 << 20, np.uint32), np.zeros(1, np.int64)
-
-    def learn(self, units: list[str]) -> None:
-        # the first unit of a text, or a last one that ends in white space, would run into its neighbour
-        alone = [u for u in units if u[0] != " " or u[-1].isspace()]
-        units = [u for u in units if u[0] == " " and not u[-1].isspace()]
-        lines, size = [[u] for u in alone], LINE
-        for u in units:
-            size += len(u)
-            if size > LINE:
-                lines.append([])
-                size = len(u)
-            lines[-1].append(u)
-        units = alone + units
-        got = self.tokenizer.encode_batch_fast(["".join(x) for x in lines], add_special_tokens=False)
-        ids = np.concatenate([np.array(x.ids, np.uint32) for x in got])
-        ends = np.cumsum(self.width[ids])
-        want = np.cumsum([len(u.encode()) for u in units])
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.vocabulary)]
+        self.width = np.array([len(t) for t in tokens])
+        self.feed = np.array([t.endswith(LINE_FEED) for t in tokens])
+
+    def ids_of(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the strings, and how many each has."""
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        return np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int64)
+
+    def learn(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all units, how many each has, and after how many of them a sentence ends in it (0: none does)."""
+        # the first unit of a text, or one that ends in white space, would run into its neighbour
+        alone = ~np.asarray(pc.match_substring_regex(units, STANDS_BEFORE_BLANK))
+        ids, sizes = self.ids_of(units.filter(pa.array(alone)).to_pylist())
+        rest = units.filter(pa.array(~alone))
+        lines = pa.ListArray.from_arrays(pa.array([*range(0, len(rest), LINE), len(rest)], pa.int32()), rest)
+        more, _ = self.ids_of(pc.binary_join(lines, "").to_pylist())
+        ends, want = np.cumsum(self.width[more]), np.cumsum(np.asarray(pc.binary_length(rest)), dtype=np.int64)
         upto = np.searchsorted(ends, want) + 1
-        if not np.array_equal(ends[upto - 1], want):
+        if want.size and not np.array_equal(ends[upto - 1], want):
             raise ValueError("a token crosses the blank between two words: this is no byte-level tokenizer")
-        begin = int(self.at[-1])
-        if begin + ids.size > self.flat.size:
-            self.flat = np.concatenate([self.flat[:begin], np.zeros(2 * (begin + ids.size), np.uint32)])
-        self.flat[begin:begin + ids.size] = ids
-        self.known.update(zip(units, range(len(self.known), len(self.known) + len(units))))
-        self.at = np.concatenate([self.at, begin + upto])
-
-    def units(self, text: str) -> list[str]:
-        """The text cut before each blank that follows no white space."""
-        parts = text.split(" ")
-        if all(p and not p[-1].isspace() for p in parts):
-            return [parts[0], *(" " + p for p in parts[1:])]
-        return self.careful(text)
+        order = np.argsort(np.concatenate([np.flatnonzero(alone), np.flatnonzero(~alone)]))
+        ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, np.diff(upto, prepend=0)])
+        begin = (np.cumsum(sizes) - sizes)[order]
+        sizes = sizes[order]
+        ids = ids[np.arange(ids.size) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)]
+        # a sentence ends after a unit that closes with its mark, or else after the last line feed in a unit
+        stops = np.where(np.asarray(pc.match_substring_regex(units, SENTENCE_END)), sizes, 0)
+        feeds = np.flatnonzero(self.feed[ids])
+        of = np.searchsorted(np.cumsum(sizes), feeds, "right")
+        last = np.zeros_like(sizes)
+        last[of] = feeds + 1 - (np.cumsum(sizes) - sizes)[of]  # places ascend, so a unit's last one stays
+        stops = np.where(stops > 0, stops, last)
+        return ids, sizes, stops
 
     @staticmethod
     def careful(text: str) -> list[str]:
+        """The text cut before each blank that follows no white space."""
         out, at, last = [], 0, text.find(" ")
-        while last > 0:
-            if not text[last - 1].isspace():
+        while last >= 0:
+            if last and not text[last - 1].isspace():
                 out.append(text[at:last])
                 at = last
             last = text.find(" ", last + 1)
         return out + [text[at:]] if text else []
 
-    def encode(self, texts: list[str | None]) -> tuple[list[int], np.ndarray]:
+    def units(self, column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The distinct units of all texts; the units of the texts as places among them, one text after the other; and how
+        many each text has. Texts with a blank after white space, where a blank isn't always a cut, are cut one by one."""
+        column = pc.fill_null(column, "")
+        odd = np.asarray(pc.match_substring_regex(column, BLANK_AFTER_SPACE))
+        split = pc.split_pattern(column.filter(pa.array(~odd)), " ")
+        parts = split.flatten().dictionary_encode()
+        counts = np.zeros(len(column), np.int64)
+        counts[~odd] = np.asarray(pc.list_value_length(split))
+        keys = 2 * np.asarray(parts.indices).astype(np.int64) + 1
+        keys[np.cumsum(counts[~odd]) - counts[~odd]] -= 1  # the first part of a text has no blank before it
+        there = np.zeros(2 * len(parts.dictionary), np.int64)
+        there[keys] = 1
+        some = np.flatnonzero(there)
+        before = pa.array(["", " "]).take(pa.array(some & 1))
+        distinct = pc.binary_join_element_wise(before, parts.dictionary.take(pa.array(some >> 1)), "")
+        flat = (np.cumsum(there) - 1)[keys]
+        if odd.any():
+            cut = [self.careful(t) for t in column.filter(pa.array(odd)).to_pylist()]
+            known = {u: len(distinct) + k for k, u in enumerate(dict.fromkeys(u for us in cut for u in us))}
+            distinct = pa.concat_arrays([distinct, pa.array(list(known), pa.string())])
+            counts[odd] = [len(us) for us in cut]
+            mixed, which = np.zeros(int(counts.sum()), np.int64), np.repeat(odd, counts)
+            mixed[which], mixed[~which] = [known[u] for us in cut for u in us], flat
+            flat = mixed
+        return distinct, flat, counts
+
+    def coded(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number of ids of each text with its end id, all ids, and after how many ids sentences or texts end."""
+        distinct, units, counts = self.units(column)
+        known, sizes, stops = self.learn(distinct)
+        at = np.cumsum(sizes) - sizes
+        # one more unit, for the end of each text
+        known, at, sizes, stops = np.append(known, np.uint32(END_ID)), np.append(at, known.size), np.append(sizes, 1), np.append(stops, 1)
+        units = np.insert(units, np.cumsum(counts), len(distinct))
+        own = sizes[units]
+        upto = np.cumsum(own)
+        begin = upto - own
+        ids = known[np.arange(upto[-1] if upto.size else 0) + np.repeat(at[units] - begin, own)]
+        texts, stops = upto[np.cumsum(counts + 1) - 1], stops[units]
+        return np.diff(texts, prepend=0), ids, (begin + stops)[stops > 0]
+
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[list[int], np.ndarray]:
         """The number of ids of each text with its end id, and all ids."""
-        units = [self.units(t) if t else [] for t in texts]
-        if len(self.known) > MEMORY:
-            self.forget()
-        new = list({u: None for us in units for u in us if u not in self.known})
-        if new:
-            self.learn(new)
-        flat = np.array([k for us in units for k in map(self.known.__getitem__, us)], np.int64)
-        sizes = self.at[flat + 1] - self.at[flat]
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.arange(upto[-1]) + np.repeat(self.at[flat] - upto[:-1], sizes)]
-        docs = upto[np.cumsum([0, *map(len, units)])]
-        return (np.diff(docs) + 1).tolist(), np.insert(ids, docs[1:], END_ID)
+        sizes, ids, _ = self.coded(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        return sizes.tolist(), ids
 
 
 @lru_cache(maxsize=2)
@@ -249,7 +283,7 @@ def write(docs: DataFrame, folder: str | None = None, tokenizer: str | None = No
                     name = f"{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}.tkb"
                     sink = store.open_output_stream(f"{root}/{name}")
                     writer = Writer(sink, bits_for(enc.vocabulary))
-                sizes, ids = enc.encode(part.column("text").to_pylist())
+                sizes, ids = enc.encode(part.column("text"))
                 writer.add(part.column("doc_id").to_pylist(), sizes, ids)
         if writer is not None:
             writer.close()
