@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlake.llm import bpe, decontamination, host_rules, lm, ngram_join, substring, token_counts, token_files, toxicity, warc
+from cohortlake.llm import bpe, decontamination, divergence, host_rules, lm, ngram_join, packing, runs, substring, token_counts, token_files, toxicity, warc
 from cohortlake.llm.common import frame_of, short_batches
 
 QUERIES, ORACLES = {}, {}
@@ -112,3 +112,40 @@ def language_model(spark, sf_dir):
 @register("op9_token_counts")
 def token_count(spark, sf_dir):
     return token_counts.count_tokens(frame_of(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
+
+
+@register("op11_periodic_runs")
+def periodic_runs(spark, sf_dir):
+    return runs.digests(frame_of(spark, sf_dir, "documents"))
+
+
+@register("op12_packing")
+def pack(spark, sf_dir):
+    return packing.digests(frame_of(spark, sf_dir, "documents"))
+
+
+DIVERGENCE_SQL = r"""
+with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+o as (select id, lang, source, unnest(terms) as term from d),
+k as (select lang, term, count(*)::hugeint as n from o group by all having count(distinct id) >= 10),
+c as (select lang, source, term, count(*)::hugeint as n from o semi join k using (lang, term) group by all),
+l as (select lang, count(*)::hugeint as v, sum(n)::hugeint as total from k group by all),
+g as (select lang, source, coalesce(any_value(v), 0) as v, coalesce(sum(c.n), 0)::hugeint as total
+      from (select distinct lang, source from d) left join l using (lang) left join c using (lang, source) group by all),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + 1000000000 * (coalesce(c.n, 0) + 2) // (g.total + 2 * g.v) as p,
+             1 + 1000000000 * (k.n + 2) // (l.total + 2 * l.v) as q
+      from g join k using (lang) join l using (lang) left join c using (lang, source, term)),
+f as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+      from p a join p b on a.lang = b.lang and a.term = b.term and a.source != b.source group by all),
+r as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+      from g a join g b on a.lang = b.lang and a.source != b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+      union all select lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::bigint from p where n > 0 and p > q),
+s as (select *, row_number() over (partition by lang, source, part order by value desc, item)::integer as rank from r)
+select * from s where part = 'pair' or rank <= 10
+"""
+
+
+@register("op13_source_divergence", DIVERGENCE_SQL)
+def source_divergence(spark, sf_dir):
+    return divergence.audit(frame_of(spark, sf_dir, "documents"))
