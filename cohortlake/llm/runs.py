@@ -114,7 +114,7 @@ class Catcher:
         """Keeps long stretches in mind, joined with what is known of them from earlier words."""
         for s, e, p in merged(found).tolist():
             if e - s >= max(KNOWN, 4 * p):
-                if self.period[s] == p:
+                if self.period[s] == p and self.stop[s] - s >= p:  # two stretches that share less are two runs
                     s = int(self.start[s])
                 self.period[s:e], self.start[s:e], self.stop[s:e] = p, s, e
 
