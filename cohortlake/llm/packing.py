@@ -184,7 +184,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, text: str = "text", widt
     def run(batches):
         enc, stream, task = encoder(path), Stream(width), TaskContext.get().partitionId()
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 8 << 20):
                 stream.add(part.column("doc_id").to_pylist(), *enc.coded(part.column("text")))
                 if stream.fresh >= SETTLE:
                     yield from batches_of(stream.pieces(), task)

@@ -39,6 +39,8 @@ TOKENIZER = "byte_bpe_50k.json"
 BLOCK = 4096
 MAGIC = b"TKB1"
 END_ID = 0
+#: So many units are remembered by a worker before it starts anew; a bound on memory only.
+MEMORY = 500_000
 #: Units that are encoded as one string.
 LINE = 512
 LINE_FEED = "\u010a"  # how byte-level vocabularies write it
@@ -158,7 +160,7 @@ class Reader:
 class Encoder:
     """The ids of whole texts. A text is a row of units, each a word with the white space before it: a byte-level
     pre-tokenizer never joins what stands before a blank with it, so units can be encoded by themselves. The distinct units
-    of a slice are found in Arrow and encoded once, many in one string; their ids are then put in place by numpy."""
+    of a slice are found in Arrow, and those that are new are encoded, many in one string; numpy then puts all ids in place."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -168,6 +170,7 @@ class Encoder:
         tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.vocabulary)]
         self.width = np.array([len(t) for t in tokens])
         self.feed = np.array([t.endswith(LINE_FEED) for t in tokens])
+        self.forget()
 
     def ids_of(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the strings, and how many each has."""
@@ -238,18 +241,38 @@ class Encoder:
             flat = mixed
         return distinct, flat, counts
 
+    def forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.ids, self.sizes, self.stops = np.array([END_ID], np.uint32), np.ones(1, np.int64), np.ones(1, np.int64)
+        self.at = np.zeros(1, np.int64)
+
+    def places(self, distinct: pa.Array) -> np.ndarray:
+        """The places of distinct units among the known ones, after new ones have been encoded."""
+        found = pc.index_in(distinct, self.known)
+        new = distinct.filter(pc.is_null(found))
+        if len(new) + len(self.known) > MEMORY and len(self.known):
+            self.forget()
+            return self.places(distinct)
+        place = np.asarray(pc.fill_null(found, 0)).astype(np.int64) + 1
+        if len(new):
+            place[np.asarray(pc.is_null(found))] = len(self.known) + 1 + np.arange(len(new))
+            ids, sizes, stops = self.learn(new)
+            self.known = pa.concat_arrays([self.known, new])
+            self.ids, self.sizes, self.stops = np.append(self.ids, ids), np.append(self.sizes, sizes), np.append(self.stops, stops)
+            self.at = np.cumsum(self.sizes) - self.sizes
+        return place
+
     def coded(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The number of ids of each text with its end id, all ids, and after how many ids sentences or texts end."""
         distinct, units, counts = self.units(column)
-        known, sizes, stops = self.learn(distinct)
-        at = np.cumsum(sizes) - sizes
-        # one more unit, for the end of each text
-        known, at, sizes, stops = np.append(known, np.uint32(END_ID)), np.append(at, known.size), np.append(sizes, 1), np.append(stops, 1)
-        units = np.insert(units, np.cumsum(counts), len(distinct))
+        place = self.places(distinct)
+        sizes, stops, at = self.sizes, self.stops, self.at
+        # the unit at place 0 is the end of a text
+        units = np.insert(place[units], np.cumsum(counts), 0)
         own = sizes[units]
         upto = np.cumsum(own)
         begin = upto - own
-        ids = known[np.arange(upto[-1] if upto.size else 0) + np.repeat(at[units] - begin, own)]
+        ids = self.ids[np.arange(upto[-1] if upto.size else 0) + np.repeat(at[units] - begin, own)]
         texts, stops = upto[np.cumsum(counts + 1) - 1], stops[units]
         return np.diff(texts, prepend=0), ids, (begin + stops)[stops > 0]
 
@@ -276,7 +299,7 @@ def write(docs: DataFrame, folder: str | None = None, tokenizer: str | None = No
     def run(batches):
         enc, writer, sink, name = encoder(path), None, None, None
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 8 << 20):
                 if writer is None:
                     store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
                     store.create_dir(root, recursive=True)
