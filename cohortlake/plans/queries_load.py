@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 from cohortlake import settings as S
 from cohortlake.functions import text as X
 from cohortlake.operators import assertions as V, cleaning as C, dimensions as D, facts as FT, quality as Q, upsert as U
-from cohortlake.plans.driver_tables import DELIVERY
+from cohortlake.plans.driver_tables import DELIVERY, season_of
 from cohortlake.plans.oracle_base import query
 from cohortlake.plans.registry import register
-from cohortlake.session import written
+from cohortlake.session import fresh_path, written
+from cohortlake.sources.tables import read_partitioned
 
 # ------------------------------------------------------------------- cleaning
 COLS = ["RecordID", "CourseID", "Score", "Amount", "Status", "Date", "Name", "Gender"]
@@ -338,6 +339,30 @@ def _(u):
     return merged(u).select("c_custkey", F.col("_action").alias("Action"), "c_acctbal", "c_name")
 
 
+MOVED = """SELECT o_orderkey + CASE WHEN o_orderkey % 11 = 0 THEN 100000000 ELSE 0 END AS PaymentID, (year(o_orderdate) - 1995) * 2 + (month(o_orderdate) > 6)::INT
+  + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS SemesterKey, o_totalprice + CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS Amount
+  FROM orders WHERE o_orderpriority = '1-URGENT'"""
+HELD = "SELECT o_orderkey AS PaymentID, (year(o_orderdate) - 1995) * 2 + (month(o_orderdate) > 6)::INT AS SemesterKey, o_totalprice AS Amount FROM orders"
+
+
+@register("merge_partitioned", query("SELECT PaymentID, SemesterKey, round(Amount, 2) AS Amount FROM moved UNION ALL SELECT PaymentID, SemesterKey, round(Amount, 2) FROM held "
+                                     "WHERE PaymentID NOT IN (SELECT PaymentID FROM moved)", extra={"held": HELD, "moved": MOVED}))
+def _(u):
+    """Two loads into one table partitioned by semester; in the second, rows are new, changed, as they were, or move to the next semester."""
+    orders, path, key = u.table("orders"), fresh_path(u.spark, "payments"), F.col("o_orderkey")
+    semester = season_of(F.col("o_orderdate"))
+    held = orders.select(key.alias("PaymentID"), semester.alias("SemesterKey"), F.col("o_totalprice").alias("Amount"))
+    moved = orders.where("o_orderpriority = '1-URGENT'").select(
+        (key + F.when(key % 11 == 0, 100000000).otherwise(0)).alias("PaymentID"), (semester + F.when(key % 3 == 0, 1).otherwise(0)).alias("SemesterKey"),
+        (F.col("o_totalprice") + F.when(key % 2 == 0, 1).otherwise(0)).alias("Amount"))
+    for rows in (held, moved):
+        U.merge_partitioned(u.spark, path, PAYMENTS, rows, ["PaymentID"], "SemesterKey")
+    return read_partitioned(u.spark, path, PAYMENTS).withColumn("Amount", F.round("Amount", 2))
+
+
+PAYMENTS = "PaymentID long, SemesterKey int, Amount double"
+
+
 @register("load_audit", query("SELECT 'customer' AS TableName, (SELECT count(*) FROM s) AS RowsStaged, sum((Action = 'INSERT')::INT) AS RowsInserted, "
                               "sum((Action = 'UPDATE')::INT) AS RowsUpdated, 0 AS RowsOrphaned FROM m", extra={"s": CHANGED, "m": MERGED}))
 def _(u):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cohortlake import settings as S
 from cohortlake.functions.measures import risk_level
-from cohortlake.operators import evaluation as E, risk as R, training as T, whatif as X
+from cohortlake.operators import evaluation as E, risk as R, whatif as X
 from cohortlake.plans.fixed_scorer import THRESHOLD, linear_scorer
 from cohortlake.plans.oracle_base import FEATURES, GROUPS, level_sql, query, risk_sql
 from cohortlake.plans.registry import register
@@ -334,21 +334,3 @@ for _scenario, _sql in SCENARIO_SQL.items():
                 "UNION ALL SELECT 'at_risk_students', s.at_risk_students - b.at_risk_students, (SELECT count(*) FROM marked) FROM b, s"}), gold=True)
 def _(u):
     return X.negligible_effect(X.run_scenario(population(u), linear_scorer, EFFECTS, THRESHOLD, "teacher_load"))
-
-
-# -------------------------------------------------------------- fitted models
-@register("fitted_model_metrics", gold=True)
-def _(u):
-    """Four MLlib candidates fitted on the older semesters and compared on the newest two."""
-    return T.compare_candidates(split_rows(u), T.candidates())
-
-
-@register("fitted_bundle_scores", gold=True)
-def _(u):
-    """Students scored by a bundle of models refitted on all labelled semesters."""
-    models = T.candidates()
-    best = T.compare_candidates(split_rows(u), models).where("IsBest = 1 AND Split = 'validation'").first()
-    bundle = T.fit_bundle(u.dataset, models[best["Model"]], best["Model"], best["Threshold"])
-    rows = R.to_score(u.dataset)
-    return R.score_students(rows, bundle.scorer, bundle.baseline, bundle.threshold, bundle.model_name,
-                            F.lit("2002-01-01 00:00:00").cast("timestamp"))

@@ -141,6 +141,8 @@ class Refresh:
 
     def table(self, name: str) -> DataFrame:
         schema = TABLES[name][0] if name in TABLES else CONTROL[name]
+        if name in TABLES and name.startswith("Fact"):
+            return ST.read_partitioned(self.spark, f"{self.root}/{name}", schema)
         return ST.table_or_empty(self.spark, f"{self.root}/{name}", schema)
 
     def append(self, name: str, rows: DataFrame) -> None:
@@ -199,7 +201,12 @@ class Refresh:
 
     # ---------------------------------------------------------------- warehouse
     def load(self, name: str, source: DataFrame, delivered: DataFrame) -> None:
-        _, key, compare = TABLES[name]
+        """Facts are merged in the semesters they touch; the small dimensions are written as a whole."""
+        schema, key, compare = TABLES[name]
+        if name.startswith("Fact"):
+            counts = U.merge_partitioned(self.spark, f"{self.root}/{name}", schema, source, [key], "SemesterKey", compare)
+            self.append("LoadAudit", U.audit_row(name, counts, delivered).withColumn("RunID", F.lit(self.run_id)))
+            return
         merged = U.upsert_type1(self.table(name), source, [key], compare)
         merged = written(merged, f"merge-{name}")
         ST.replace_table(merged.drop("_action", "_staged"), f"{self.root}/{name}")
