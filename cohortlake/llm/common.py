@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlake.session import written
 
-__all__ = ["written", "words_of", "texts", "slices", "map_batches", "remainder", "mix64", "frame_of", "release", "short_batches", "whole_rows"]
+__all__ = ["written", "words_of", "texts", "slices", "map_batches", "remainder", "mix64", "frame_of", "release", "short_batches", "tidied", "whole_rows"]
 
 #: The words of all operators: runs of bytes other than blank, tab, line feed, vertical tab, form feed and return.
 #: bytes.split() without arguments splits at just these six, and bytes.lower() changes A-Z alone.
@@ -54,7 +56,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
             for part in slices(batch, text):
                 out = fn(part)
                 yield pa.RecordBatch.from_arrays([out[n] if isinstance(out[n], pa.Array) else pa.array(out[n]) for n in names], names)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def _fields(schema: str) -> list[str]:
@@ -84,11 +86,34 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def short_batches(spark, rows: int = 2000) -> None:
-    """Documents are long rows: a session that hands over more of them at once than this gets this number."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def short_batches(spark, rows: int = 2000, most_bytes: int = 4 << 20) -> None:
+    """Documents are long rows: a session that hands over more of them at once than this, in rows or bytes, gets these limits. They
+    are read when a plan is made, which can be after the call, so they stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", most_bytes)):
+        now = spark.conf.get(key)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
+def tidy() -> None:
+    """Gives memory that a task has freed back to the system, as Spark uses the worker again for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc
+        pass
+
+
+def tidied(fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function of a task, with ``tidy`` at its end."""
+    @wraps(fn)
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            tidy()
+    return run
 
 
 def whole_rows(df: DataFrame, name: str = "row") -> Column:

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlake.llm.common import mix64, slices, texts
+from cohortlake.llm.common import mix64, slices, tidied, texts
 from cohortlake.llm.shingles import word_hashes
 
 RATE = 0.2
@@ -270,7 +270,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_te
                         rows += [(ids[d], *x) for x in leaks(h[ends[d] - sizes[d]:ends[d]], own, ix.items, rate)]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "item_words", "distance", "end_word"])
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(tidied(run), schema)
 
     for block in blocks_of(items, item_text, item_id, at_once):
         found = search(block)

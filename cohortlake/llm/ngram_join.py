@@ -18,8 +18,8 @@ drawn by a hash, ``ROUNDS`` times in all; what is in different components even t
 components, in blocks of at most ``BLOCK`` a side. Nothing is ever left out.
 
 Cases: null and empty texts, or texts without words, have the empty set and stand alone; rows with equal sets are one
-class; repeated rows are copies; rows that share an id are one document, linked with whatever any of its texts is linked
-with; rows without an id link nothing and get a null component; an empty table gives an empty one. Other columns are ignored.
+class; repeated rows are copies; rows that share an id are one document and have one component, linked with whatever any of
+its texts is linked with; rows without an id link nothing and get a null component; an empty table gives an empty one. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from cohortlake.llm.common import mix64, release, slices, written
+from cohortlake.llm.common import mix64, release, slices, tidied, written
 from cohortlake.llm.components import components
 from cohortlake.llm.shingles import shingle_sets
 
@@ -44,6 +44,8 @@ ROUNDS = 3
 BLOCK = 256
 #: Pairs that a task remembers, so as not to send them again; a bound on memory only.
 SEEN = 1 << 18
+#: Keys that a task holds before it counts them.
+HELD = 1 << 21
 EMPTY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -137,6 +139,8 @@ def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     k2.append(b)
                     sketches.append(dense(h, 1 << (h.size.bit_length() - 1)) if h.size else None)
                     if h.size and (a, b) not in seen:
+                        if len(seen) > SEEN:
+                            seen.clear()  # a set that comes again then counts twice, which only makes its parts look more frequent
                         seen.add((a, b))
                         for low, _ in bands(h.size, percent):
                             keys.append(parts(h, low)[1])
@@ -144,12 +148,12 @@ def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 k = len(sets)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([h.size for h in sets], pa.int64()), pa.array(np.array(k1, np.uint64).view(np.int64)), pa.array(np.array(k2, np.uint64).view(np.int64)),
                                                   pa.array(sketches, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
-                if held > 1 << 22:
+                if held > HELD:
                     yield counted()
                     keys, held = [], 0
         if keys:
             yield counted()
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def put(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
@@ -164,6 +168,8 @@ def put(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
                     kind = (int(h.sum(dtype=np.uint64)), int(mix64(h ^ EMPTY).sum(dtype=np.uint64))) if h.size else None
                     if doc is None or kind is None or kind in seen:
                         continue
+                    if len(seen) > SEEN:
+                        seen.clear()  # a set that comes again is then put again
                     seen.add(kind)
                     keys.append(first_parts(h, percent, common))
                     ids.append(doc)
@@ -176,7 +182,7 @@ def put(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
                     tasks = np.where(common[at] == key, 1 + found[at] // SPREAD, 1)
                     spread = np.where(tasks > 1, 1 + (mix64(doc.view(np.uint64)) % tasks.astype(np.uint64)).astype(np.int64), 0)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(spread.astype(np.int32)), pa.array(doc)], ["part", "spread", "doc"])
-    return docs.mapInArrow(run, "part long, spread int, doc long")
+    return docs.mapInArrow(tidied(run), "part long, spread int, doc long")
 
 
 # -- comparing -------------------------------------------------------------------------------------------------------
@@ -202,7 +208,7 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             rows = batch.to_pydict()
             keep = [close(*x, percent) for x in zip(rows["na"], rows["nb"], rows["sa"], rows["sb"])]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    return pairs.join(side("a"), ["a", "na"]).join(side("b"), ["b", "nb"]).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), ["a", "na"]).join(side("b"), ["b", "nb"]).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidied(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
@@ -225,7 +231,7 @@ def verified(pairs: DataFrame, held: DataFrame, width: int, percent: int) -> Dat
                     common = np.intersect1d(sa[k], hb, assume_unique=True).size
                     keep.append(100 * common >= percent * (sa[k].size + hb.size - common))
                 yield piece.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(tidied(run), "a long, b long").distinct()
 
 
 def across(members: DataFrame, percent: int) -> DataFrame:
@@ -281,7 +287,7 @@ def across(members: DataFrame, percent: int) -> DataFrame:
         if held:
             found = new(compare(held, *last[1:]))
             yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(tidied(run), "a long, b long").distinct()
 
 
 def unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -345,7 +351,10 @@ def join(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int =
     held = docs.join(sharing, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     held = written(held, "candidates")
     release(spark)
-    links = written(verified(likely(pairs, reps, percent), held, width, percent), "links")
+    # the classes of one id are one document's, and linked by it
+    first = of_doc.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z").select("doc_id", "a")
+    same = of_doc.join(first, "doc_id").select("a", F.col("rep").alias("b")).where("a != b").distinct()
+    links = written(verified(likely(pairs, reps, percent), held, width, percent).union(same), "links")
     roots = components(links)
 
     # two members have been compared; more may need other pairs than those with their leader
@@ -370,6 +379,9 @@ def join(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int =
     links, roots = joined(links, roots, verified(across(rooted, percent), held, width, percent))
     least = roots.groupBy("root").agg(F.min("node").alias("component_id"))
     named = roots.join(least, "root").select(F.col("node").alias("rep"), "component_id")
-    out = nodes.join(named, "rep", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"),
+    # a row without words has the component of its document's other rows, if there are any
+    bare = nodes.where("rep is null").drop("rep").join(of_doc.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left").withColumn("class_id", F.col("doc_id"))
+    nodes = nodes.where("rep is not null").withColumn("class_id", F.col("rep")).unionByName(bare)
+    out = nodes.join(named, "rep", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"),
                                                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep", "doc_id")).alias("component_id"))
     return links, out

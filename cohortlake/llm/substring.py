@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from cohortlake.llm.common import release, slices, texts, whole_rows, words_of, written
+from cohortlake.llm.common import release, slices, tidied, texts, whole_rows, words_of, written
 from cohortlake.llm.shingles import rolling, word_hashes
 
 WINDOW = 20
@@ -118,7 +118,7 @@ def blocks(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                     ids, keys, sizes, hashes, held = [], [], [], [], 0
         if ids:
             yield pack(ids, keys, sizes, hashes, chunk)
-    return docs.mapInArrow(run, "bucket int, chunk long, kind int, data binary, more binary, fixed binary")
+    return docs.mapInArrow(tidied(run), "bucket int, chunk long, kind int, data binary, more binary, fixed binary")
 
 
 def match(packed: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def places_to_go(found: DataFrame, window: int) -> DataFrame:
                     held, size = [], 0
         if held:
             yield from pack(held)
-    rows = found.mapInArrow(run, "h1 long, h2 int, doc_id long, key long, at int, tied array<long>, gone binary")
+    rows = found.mapInArrow(tidied(run), "h1 long, h2 int, doc_id long, key long, at int, tied array<long>, gone binary")
     place = F.struct("doc_id", "at")
     rows = rows.withColumn("first", F.min(place).over(W.partitionBy("h1", "h2")))
     rows = rows.where(F.col("gone").isNotNull() | (place != F.col("first")))

@@ -134,6 +134,16 @@ def test_linked_sets_share_a_part():
             assert ngram_join.close(a.size, b.size, ngram_join.dense(a, 1 << (a.size.bit_length() - 1)), ngram_join.dense(b, 1 << (b.size.bit_length() - 1)), 75)
 
 
+def test_op2_one_id_is_one_document(spark):
+    """Rows of one id with texts that are copies, or near copies, of different documents link all of them."""
+    a, b, c, d = (words(40, k) for k in (21, 22, 23, 24))
+    near = a.split(" ")
+    near[0] = "changed"
+    rows = [(3, a), (4, b), (5, a), (5, b), (6, c), (7, c), (7, " ".join(near)), (8, d), (9, d), (9, None), (10, "")]
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"))[1].collect()}
+    assert got == {(3, 3), (4, 3), (5, 3), (6, 3), (7, 3), (8, 8), (9, 8), (10, 10)}, got
+
+
 def test_op2_is_the_brute_force_result(spark, documents):
     got = by_id(QUERIES["op2_ngram_join"](spark, FOLDER))
     want = component_of([(d["doc_id"], d["text"]) for d in documents])
