@@ -61,12 +61,19 @@ def trim_all(df: DataFrame, columns) -> DataFrame:
                      F.struct(*columns).alias("_raw"), flag(changed).alias("_trims"))
 
 
-def dedupe_keep_last(df: DataFrame, pk: str, order: list[str]) -> DataFrame:
-    """Within a file the last row of every key; rows without a key all stay. Copies are counted."""
-    copies = [F.sum("_trims").alias("_all_trims"), (F.count(F.lit(1)) - 1).alias("_copies")]
-    kept = last_per_key(df, ["_file", pk], order, copies)
-    return kept.withColumns({"_trims": F.col("_all_trims"), "_dups": F.when(F.col(pk).isNull(), 0).otherwise(
-        F.col("_copies"))}).drop("_all_trims", "_copies")
+def dedupe_keep_last(df: DataFrame, pk: str, order: list[str], keep=None) -> DataFrame:
+    """Within a file the last row of every key; rows without a key all stay. Copies are counted.
+
+    Keys are counted first, by themselves. Rows whose key comes once, nearly all of a delivery, then pass as they are; only
+    those of repeated keys are compared. ``keep`` may store the repeated keys, so that Spark knows their size when it joins.
+    """
+    key = ["_file", pk]
+    again = df.where(F.col(pk).isNotNull()).groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*key)
+    again = keep(again, "repeated-keys") if keep else again
+    copies = [F.sum("_trims").alias("_all_trims"), (F.count(F.lit(1)) - 1).cast("int").alias("_dups")]
+    last = last_per_key(df.join(again, key, "left_semi"), key, order, copies)
+    last = last.withColumn("_trims", F.col("_all_trims").cast(df.schema["_trims"].dataType)).drop("_all_trims")
+    return df.join(again, key, "left_anti").select(*df.columns, F.lit(0).alias("_dups")).unionByName(last)
 
 
 def standardise(df: DataFrame, spec: TableSpec) -> DataFrame:
@@ -186,7 +193,7 @@ def clean(df: DataFrame, spec: TableSpec, parents: Mapping[str, DataFrame] | Non
     ``keep`` may store rows (for example ``session.written``) before the steps that read them more
     than once: the group medians and the outlier check.
     """
-    rows = dedupe_keep_last(trim_all(df, list(spec.columns)), spec.pk, ["_ord"])
+    rows = dedupe_keep_last(trim_all(df, list(spec.columns)), spec.pk, ["_ord"], keep)
     rows = fill_defaults(retype(standardise(rows, spec), spec), spec)
     rows = keep(rows, spec.name) if keep and spec.impute else rows
     rows = require(impute_group_median(rows, spec), spec)

@@ -230,51 +230,38 @@ def prediction_report(risk: DataFrame, comparison: DataFrame) -> dict[str, DataF
             "model": comparison.where((F.col("IsBest") == 1) & (F.col("Split") == "test") & (F.col("Rule") == "recall target"))}
 
 
-def relations_of(spark, sql: str) -> list[list[str]]:
-    """The names of all tables that a query reads, subqueries included; names that the query itself defines are left out.
+def reads_beyond(found: DataFrame, views: set[str]) -> str | None:
+    """What the analysed plan reads outside the given views, subqueries included; None if there is nothing.
 
-    Spark's own parser gives the unresolved plan; reading a function or a plan with a command in it raises."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parseQuery(sql)
-    found, todo = [], [(plan, frozenset())]
-
-    def items(seq):
-        return [seq.apply(i) for i in range(seq.size())]
+    In an analysed plan a view is a node of its own around what it reads, whatever name the query used for it: below
+    one of the given views all is allowed, and elsewhere only rows that the query itself spells out."""
+    todo = [found._jdf.queryExecution().analyzed()]
     while todo:
-        node, own = todo.pop()
-        kind = node.getClass().getSimpleName()
-        if kind == "UnresolvedWith":
-            own = own | {items(r.productIterator().toSeq())[0].lower() for r in items(node.cteRelations())}
-        if kind == "UnresolvedRelation":
-            name = items(node.multipartIdentifier())
-            if not (len(name) == 1 and name[0].lower() in own):
-                found.append(name)
-        elif "TableValuedFunction" in kind or "Command" in kind or "Insert" in kind:
-            raise ValueError(f"{kind} is not allowed")
-        for seq in (node.children(), node.innerChildren(), node.subqueries()):
-            for child in items(seq):
-                if hasattr(child, "subqueries"):
-                    todo.append((child, own))
-    return found
+        node = todo.pop()
+        kind = node.nodeName()
+        if kind == "View":
+            name = node.desc().identifier().table()
+            if name not in views:
+                return name
+            continue
+        below = [seq.apply(i) for seq in (node.children(), node.innerChildren(), node.subqueries()) for i in range(seq.size()) if hasattr(seq.apply(i), "subqueries")]
+        if node.children().isEmpty() and kind not in ("OneRowRelation", "LocalRelation", "CTERelationRef"):
+            return kind
+        todo += below
+    return None
 
 
 def capped_query(spark, tables: dict[str, DataFrame], sql: str, cap: int | None = None) -> DataFrame:
     """One SELECT over published tables. With a ``cap``, at most so many rows; the column truncated says whether there
     are more. The result is lazy.
 
-    Only the given names can be read: the parsed query's relations are checked, so paths, other views, catalog tables
-    and table functions raise. Tables are bound under names of this call alone, so no view of the session is replaced.
+    Only the given tables can be read: the analysed query is checked, so that paths, other views, catalog tables and functions
+    that give rows raise, also under a name that the query defines. Tables are bound under names of this call alone, so no view of the
+    session is replaced.
     """
     body = sql.strip().rstrip(";").strip()
     if "--" in body or "/*" in body:
         raise ValueError("comments are not allowed")
-    try:
-        names = relations_of(spark, body)
-    except Exception as exc:
-        raise ValueError(f"only one SELECT over the published tables is allowed: {exc}") from exc
-    known = {n.lower() for n in tables}
-    for name in names:
-        if len(name) != 1 or name[0].lower() not in known:
-            raise ValueError(f"{'.'.join(name)} is not a published table")
     views = {name: f"published_{uuid.uuid4().hex}" for name in tables}
     for name, view in views.items():
         tables[name].createOrReplaceTempView(view)
@@ -286,6 +273,9 @@ def capped_query(spark, tables: dict[str, DataFrame], sql: str, cap: int | None
     finally:
         for view in views.values():
             spark.catalog.dropTempView(view)
+    other = reads_beyond(found, set(views.values()))
+    if other:
+        raise ValueError(f"{other} is not a published table")
     if cap is None:
         return found.withColumn("truncated", F.lit(False))
     # the window is over the rows of the cap and one more

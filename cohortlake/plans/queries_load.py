@@ -72,7 +72,7 @@ def clean(u):
 
 
 def typed(u):
-    rows = C.dedupe_keep_last(C.trim_all(u.deliveries, COLS), "RecordID", ["_ord"])
+    rows = C.dedupe_keep_last(C.trim_all(u.deliveries, COLS), "RecordID", ["_ord"], written)
     return C.retype(C.standardise(rows, DELIVERY), DELIVERY)
 
 
@@ -84,7 +84,7 @@ def _(u):
 
 @register("dedupe_keep_last", query("SELECT f AS FileName, RecordID, CourseID, Amount, Status, Date, dups AS Copies FROM d", extra=staged("d")))
 def _(u):
-    rows = C.dedupe_keep_last(C.trim_all(u.deliveries, COLS), "RecordID", ["_ord"])
+    rows = C.dedupe_keep_last(C.trim_all(u.deliveries, COLS), "RecordID", ["_ord"], written)
     return rows.select(F.col("_file").alias("FileName"), "RecordID", "CourseID", "Amount", "Status", "Date", F.col("_dups").alias("Copies"))
 
 
@@ -97,7 +97,7 @@ def _(u):
 
 @register("canonicalise", query("SELECT Status AS Delivered, " + ST + " AS Canonical, count(*) AS N FROM d GROUP BY ALL", extra=staged("d")))
 def _(u):
-    rows = C.dedupe_keep_last(C.trim_all(u.deliveries, COLS), "RecordID", ["_ord"])
+    rows = C.dedupe_keep_last(C.trim_all(u.deliveries, COLS), "RecordID", ["_ord"], written)
     return rows.groupBy(F.col("Status").alias("Delivered"), X.canonical(F.col("Status"), S.ATTENDANCE).alias("Canonical")).agg(
         F.count(F.lit(1)).alias("N"))
 

@@ -24,9 +24,14 @@ def test_only_one_select_is_accepted(spark, people, sql):
 @pytest.mark.parametrize("sql", [
     "SELECT * FROM parquet.`/root/testdata/sf0.001/orders.parquet`", "SELECT * FROM staff_notes", "SELECT * FROM default.people", "SELECT * FROM range(3)",
     "SELECT (SELECT max(note) FROM staff_notes) FROM people", "SELECT * FROM people WHERE StudentKey IN (SELECT k FROM staff_notes)",
+    "WITH staff_notes AS (SELECT * FROM staff_notes) SELECT * FROM staff_notes", "SELECT * FROM people WHERE 1 = (WITH staff_notes AS (SELECT max(k) AS m FROM staff_notes) SELECT m FROM staff_notes)",
+    "WITH a AS (WITH staff_notes AS (SELECT * FROM staff_notes) SELECT * FROM staff_notes) SELECT * FROM a", "SELECT * FROM other_people", "SELECT * FROM global_temp.notes",
+    "WITH people AS (SELECT * FROM staff_notes) SELECT * FROM people", "SELECT * FROM people p, LATERAL (SELECT * FROM staff_notes s WHERE s.k = p.StudentKey)",
     "WITH x AS (SELECT * FROM staff_notes) SELECT * FROM x", "SELECT * FROM people JOIN staff_notes ON StudentKey = k"])
 def test_only_published_tables_are_read(spark, people, sql):
     spark.createDataFrame([(1, "secret")], "k int, note string").createOrReplaceTempView("staff_notes")
+    spark.table("staff_notes").createOrReplaceGlobalTempView("notes")
+    people.createOrReplaceTempView("other_people")                       # what is published, but under a name that isn't
     with pytest.raises(ValueError):
         D.capped_query(spark, {"people": people}, sql)
     assert spark.table("staff_notes").count() == 1
@@ -37,6 +42,8 @@ def test_select_is_capped(spark, people):
     assert [tuple(r) for r in rows.collect()] == [(1, False)]
     rows = D.capped_query(spark, {"people": people}, "SELECT * FROM people", cap=4).collect()
     assert len(rows) == 4 and all(r["truncated"] for r in rows)
+    rows = D.capped_query(spark, {"people": people}, "SELECT * FROM (VALUES (1), (2)) AS v(k) WHERE k IN (SELECT FacultyKey FROM people) AND EXISTS (WITH people AS (SELECT * FROM people) SELECT 1 FROM people)")
+    assert rows.count() > 0
     rows = D.capped_query(spark, {"people": people}, "WITH people AS (SELECT * FROM people WHERE FacultyKey = 1) SELECT * FROM people")
     assert rows.count() == 3 and not rows.where("truncated").count()
 
