@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlake.session import written
 
-__all__ = ["written", "words_of", "texts", "slices", "map_batches", "remainder", "mix64", "frame_of", "release", "short_batches", "tidied", "whole_rows"]
+__all__ = ["written", "words_of", "texts", "slices", "map_batches", "remainder", "mix64", "frame_of", "release", "short_batches", "tidied", "tidy", "whole_rows"]
 
 #: The words of all operators: runs of bytes other than blank, tab, line feed, vertical tab, form feed and return.
 #: bytes.split() without arguments splits at just these six, and bytes.lower() changes A-Z alone.

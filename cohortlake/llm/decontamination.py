@@ -281,4 +281,4 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_te
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents without a leak of any item, whole and with all columns. Rows without an id stay."""
     bad = contamination(docs, items, **options).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(bad, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

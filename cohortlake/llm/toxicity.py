@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlake.llm.common import remainder, slices, whole_rows
+from cohortlake.llm.common import remainder, slices, tidy, whole_rows
 
 SAMPLE = 15_000
 LEAST_DOCUMENTS = 4
@@ -103,7 +103,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", sample
 
 
 def fit(rows: DataFrame, rounds: int = ROUNDS, rate: float = RATE, decay: float = DECAY) -> Model:
-    """The model for rows (doc_id, text, toxic), by gradient descent with adaptive steps over all of them at once."""
+    """The model for rows (doc_id, text, toxic), by gradient descent with adaptive steps over all of them at once. The
+    driver gives the memory of it back."""
+    try:
+        return _fit(rows, rounds, rate, decay)
+    finally:
+        tidy()
+
+
+def _fit(rows: DataFrame, rounds: int, rate: float, decay: float) -> Model:
     table = rows.orderBy("doc_id").toArrow()
     if not table.num_rows or not any(table.column("toxic").to_pylist()):
         return Model({}, -40.0)
@@ -121,9 +129,11 @@ def fit(rows: DataFrame, rounds: int = ROUNDS, rate: float = RATE, decay: float
             ids.append(np.array([known[w] for s in bag for w in s], np.int32))
             sizes.append(np.array([len(s) for s in bag], np.int32))
             counts.append(len(bag))
-    del table
-    names, of_word = np.unique(np.append(np.frombuffer(of_word, np.uint64), np.uint64(0)), return_inverse=True)  # feature 0 is none
-    of_word = of_word[:-1].astype(np.int32).reshape(-1, 1 + len(STEMS))
+    del table, batch, text, bag
+    tidy()
+    coded = pa.array(np.append(np.uint64(0), np.frombuffer(of_word, np.uint64))).dictionary_encode()  # feature 0 is none
+    names, of_word = np.asarray(coded.dictionary), np.asarray(coded.indices)[1:].reshape(-1, 1 + len(STEMS))
+    del coded
     found, in_toxic = np.zeros(names.size), np.zeros(names.size)
     for own, toxic in zip(ids, y):
         f = np.unique(of_word[np.unique(own)])

@@ -13,7 +13,7 @@ from cohortlake.session import written
 from test_llm_documents import SCHEMA, component_of, odd_rows, removed
 
 FOLDER = "/root/testdata/sf0.001"
-CLASHING = "ids score predicted offending n_words n_removed spans row key t cut at gone _text rep component_id part item_id".split()
+CLASHING = "ids score predicted offending n_words n_removed spans row key t cut at gone _text rep component_id part item_id a.b".split()
 
 
 def test_registered():
@@ -55,7 +55,7 @@ def test_stages_on_documents(spark):
 
 @pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
 def test_stages_on_odd_rows(spark, name, stage):
-    docs = spark.createDataFrame(odd_rows(), SCHEMA).selectExpr("*", *[f"'mine' as {c}" for c in CLASHING])
+    docs = spark.createDataFrame(odd_rows(), SCHEMA).selectExpr("*", *[f"'mine' as `{c}`" for c in CLASHING], "map('k', doc_id) as pairs")
     out = stage(spark, docs, FOLDER)
     rows = out.collect()
     if name == "byte_bpe":
