@@ -34,11 +34,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     _, found = ngram_join.join(docs)
     # ids that aren't the least of their component
     worse = found.where("component_id != doc_id").select("doc_id").distinct()
-    kept = docs.join(worse, "doc_id", "left_anti").select(*docs.columns)
-    # repeated rows of an id: equal or not, the first in order of their text stays
-    again = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
-    one = again.select(*[F.col(c) if c == "doc_id" else F.col(f"row.{c}").alias(c) for c in docs.columns])
-    return one.union(kept.where("doc_id is null"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.join(worse, "doc_id", "left_anti").select(*columns)
+    # repeated rows of an id, few or many: equal or not, the first in order of their text stays (ties: in order of their JSON)
+    repeated = kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    first = F.min_by(F.struct(*columns), F.struct("text", F.to_json(F.struct(*columns))))
+    one = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(first.alias("row")).select("row.*")
+    return kept.join(repeated, "doc_id", "left_anti").select(*columns).union(one)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
