@@ -119,9 +119,9 @@ def _(u):
     return u.course_pooled
 
 
-@register("teacher_summary", query("SELECT * FROM tsum", "tsum", now="11"))
+@register("teacher_summary", query("SELECT * FROM tsum", "tsum"))
 def _(u):
-    return u.teacher_summary(11)
+    return u.teacher_summary(u.latest)
 
 
 # ---------------------------------------------------------------------- health
@@ -366,9 +366,9 @@ def _(u):
     return rounded(AN.course_anomalies(u.course_history, STRICT))
 
 
-@register("teacher_load_anomalies", query(TEACHER_ANOMALY.format(z=1.5, sem=11), "tsum", now="11"))
+@register("teacher_load_anomalies", query(TEACHER_ANOMALY.format(z=1.5, sem=LATEST), "tsum", "lines"))
 def _(u):
-    return rounded(AN.teacher_load_anomalies(u.teacher_summary(11), F.lit(11), STRICT))
+    return rounded(AN.teacher_load_anomalies(u.teacher_summary(u.latest), F.lit(u.latest), STRICT))
 
 
 @register("anomalies", query(

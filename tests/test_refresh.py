@@ -1,6 +1,7 @@
 """A small university with planted dirt, loaded twice."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,6 +176,27 @@ def test_changed_file_is_found(spark, tmp_path):
     assert [r["FileName"] for r in SF.discover(spark, str(tmp_path), "grades").collect()] == ["grades_1.csv", "grades_2.csv"]
 
 
+def test_fingerprints_are_of_the_bytes_at_every_size(spark, tmp_path, monkeypatch):
+    """Files of many ranges and of one: a changed byte is found though length and time are as they were; a touched file is the same."""
+    monkeypatch.setattr(SF, "RANGE", 1000)
+    sizes = {"grades_0.csv": 0, "grades_1.csv": 1, "grades_2.csv": 1000, "grades_3.csv": 1001, "grades_4.csv": 250_000}
+    for name, n in sizes.items():
+        (tmp_path / name).write_bytes(bytes(k * 7 % 251 for k in range(n)))
+        os.utime(tmp_path / name, (1_000_000, 1_000_000))
+    before = {r["FileName"]: r["FileHash"] for r in SF.file_hashes(spark, str(tmp_path)).collect()}
+    assert set(before) == set(sizes) and len(set(before.values())) == len(sizes)
+    data = bytearray((tmp_path / "grades_4.csv").read_bytes())
+    data[123_456] ^= 1
+    (tmp_path / "grades_4.csv").write_bytes(data)
+    os.utime(tmp_path / "grades_4.csv", (1_000_000, 1_000_000))
+    os.utime(tmp_path / "grades_3.csv", (2_000_000, 2_000_000))
+    after = {r["FileName"]: r["FileHash"] for r in SF.file_hashes(spark, str(tmp_path)).collect()}
+    assert [n for n in sizes if before[n] != after[n]] == ["grades_4.csv"]
+    data[:1000], data[1000:2000] = data[1000:2000], data[:1000]             # ranges count in their order
+    (tmp_path / "grades_4.csv").write_bytes(data)
+    assert {r["FileName"]: r["FileHash"] for r in SF.file_hashes(spark, str(tmp_path)).collect()}["grades_4.csv"] != after["grades_4.csv"]
+
+
 def test_streamed_files_are_cleaned_once(spark, delivered, tmp_path):
     spec = C.TableSpec("attendance", "AttendanceID", SPEC["attendance"].columns, cats=SPEC["attendance"].cats,
                        ints=SPEC["attendance"].ints, dates=("Date",), required=("AttendanceID", "Date"),
