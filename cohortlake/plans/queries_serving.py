@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from cohortlake import settings as S
 from cohortlake.functions.selection import exact_median, pick_ranks
-from cohortlake.operators import exams, frames, serving as D
+from cohortlake.operators import exams, frames, serving as D, whatif as X
 from cohortlake.plans import queries_metrics as M, queries_risk as Q
 from cohortlake.plans.driver_tables import LIMITS
 from cohortlake.plans.oracle_base import AGG, EXAM_COLS, GROUPS, LATEST, MONEY, RATES, RESUM, query
-from cohortlake.plans.registry import register
+from cohortlake.plans.registry import ORACLES, register
 from cohortlake.session import fresh_path
 from cohortlake.sources import files as SF, tables as ST
 
@@ -243,6 +243,37 @@ def _(u):
     return frames.data_version(run_log(run_events(u)), u.risk)
 
 
+# ------------------------------------------------------------- parts of reports
+@register("faculty_report_factors", query(SHARES.replace("FROM risk", "FROM (SELECT * FROM risk WHERE FacultyKey = 2)"), "risk"), gold=True)
+def _(u):
+    return report(u)["factor_shares"]
+
+
+@register("profile_risk", query("SELECT * EXCLUDE (ScoredAt) FROM risk WHERE StudentKey = 17", "risk"), gold=True)
+def _(u):
+    return profile(u)["risk"].drop("ScoredAt")
+
+
+@register("prediction_report_levels", ORACLES["risk_level_counts"], gold=True)
+def _(u):
+    return D.prediction_report(u.risk, Q.E.compare_models(Q.scored_models(u)))["levels"]
+
+
+@register("prediction_report_factors", ORACLES["factor_shares"], gold=True)
+def _(u):
+    return D.prediction_report(u.risk, Q.E.compare_models(Q.scored_models(u)))["factor_shares"]
+
+
+@register("prediction_report_model", f"SELECT * FROM ({ORACLES['compare_models']}) WHERE IsBest = 1 AND Split = 'test' AND Rule = 'recall target'", gold=True)
+def _(u):
+    return D.prediction_report(u.risk, Q.E.compare_models(Q.scored_models(u)))["model"].withColumn("ROC_AUC", F.round("ROC_AUC", 9))
+
+
+@register("all_scenarios", " UNION ALL ".join(f"SELECT '{n}' AS Name, * FROM ({ORACLES['scenario_' + n]})" for n in S.SCENARIOS), gold=True)
+def _(u):
+    return Q._rounded(X.all_scenarios(Q.population(u), Q.linear_scorer, Q.EFFECTS, Q.THRESHOLD))
+
+
 # ------------------------------------------------------------------ raw profile
 @register("profile_totals", query("""SELECT sum(GradePoints)::DOUBLE / count(*) AS AvgGPA, sum(TotalScore)::DOUBLE / count(*) AS AvgTotal, sum(AttendanceScore)::DOUBLE / count(*) AS Attendance,
   sum(IsFailed)::DOUBLE / count(*) AS FailureRate, sum(1 - IsAdmitted)::DOUBLE / count(*) AS NotAdmitted, sum(CurrentScore)::DOUBLE / count(*) AS Current,
