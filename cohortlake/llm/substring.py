@@ -7,7 +7,8 @@ block equal to it. Hits are extended over all windows that hold them, and these
 goes if the same words start earlier (lower doc_id; or same document, lower position). Runs of such windows are the maximal
 exact repeats. Everything is judged on the input, not on what is left of it.
 
-Blocks move as packed arrays, one per task and bucket of hashes. A block found more than once in a task is a hit already
+Blocks move as packed arrays, one per task and bucket of hashes: sorted hashes by their low bytes and the steps of their
+high bits, places in 20 bits. A block found more than once in a task is a hit already
 and moves once, so no bucket ever gets more of one block than there are tasks, however often it occurs; likewise a
 window, of which each task sends on its earliest place alone and knows that the others go.
 
@@ -33,6 +34,9 @@ WINDOW = 20
 CHUNK = 1 << 20
 #: Buckets of hashes for each shuffle partition; a bucket is what one call matches.
 BUCKETS = 8
+#: Bits of a block's hash that are kept within its bucket; blocks that agree in these alone are told apart by their windows.
+KEY_BITS = 36
+SHIFT, MASK = np.uint64(32), np.uint64(0xFFFFFFFF)
 LAST = (1 << 63) - 1  # a null id
 
 
@@ -49,6 +53,37 @@ def numbers(data: bytes, bytes_each: int) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
+def sorted_bytes(x: np.ndarray) -> bytes:
+    """Ascending numbers below 2 ** KEY_BITS: the low bytes as they are; of the high bits one bit a number and one a step."""
+    low = 3 if x.size >= 512 else 4
+    high = (x >> np.uint64(8 * low)).astype(np.int64)
+    bits = np.zeros(x.size + (1 << (KEY_BITS - 8 * low)), np.uint8)
+    bits[high + np.arange(x.size)] = 1
+    return bytes([low]) + planes(x, low) + np.packbits(bits).tobytes()
+
+
+def sorted_numbers(data: bytes, size: int) -> np.ndarray:
+    low = data[0]
+    at = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=1 + low * size)))
+    return numbers(data[1:1 + low * size], low) | ((at - np.arange(size)).astype(np.uint64) << np.uint64(8 * low))
+
+
+def place_bytes(x: np.ndarray) -> bytes:
+    """Places in a chunk: 20 bits each, or 4 bytes where a long text makes the chunk longer."""
+    if x.size and x.max() >> 20:
+        return b"\4" + planes(x, 4)
+    top = np.append(x >> 16, 0).astype(np.uint8)[:x.size + x.size % 2]
+    return b"\2" + planes(x, 2) + (top[0::2] | top[1::2] << 4).tobytes()
+
+
+def place_numbers(data: bytes, size: int) -> np.ndarray:
+    if data[0] == 4:
+        return numbers(data[1:], 4).astype("<u4")
+    top = np.frombuffer(data, np.uint8, offset=1 + 2 * size)
+    top = np.stack([top & 15, top >> 4], axis=1).ravel()[:size]
+    return (numbers(data[1:1 + 2 * size], 2) | top.astype(np.uint64) << np.uint64(16)).astype("<u4")
+
+
 def groups(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First positions and sizes of runs of equal keys."""
     starts = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if sorted_keys.size else np.zeros(0, np.int64)
@@ -68,10 +103,10 @@ def windows(sizes: np.ndarray, width: int) -> np.ndarray:
 # -- 1. blocks -------------------------------------------------------------------------------------------------------
 
 def blocks(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """Rows (bucket, chunk, kind, data) with kind 0: hash and place of the chunk's blocks in a bucket, 1: places that are
+    """Rows (bucket, chunk, kind, size, data) with kind 0: hash and place of the chunk's blocks in a bucket, 1: places that are
     hits already, 2: ids, keys and sizes of the chunk's documents."""
     block = (window + 1) // 2
-    names = ["bucket", "chunk", "kind", "data", "more", "fixed"]
+    names = ["bucket", "chunk", "kind", "size", "data", "more", "fixed"]
 
     def pack(ids, keys, sizes, hashes, chunk):
         sizes = np.array(sizes, np.int64)
@@ -88,17 +123,20 @@ def blocks(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         many = np.repeat(counts > 1, counts)
         if starts.size:
             any_fixed = np.logical_or.reduceat(fixed, starts)
-        rows = [(chunk % buckets, chunk, 2, planes(np.array(ids + keys, np.int64).view(np.uint64), 8), sizes.astype("<i8").tobytes(), None)]
+        rows = [(chunk % buckets, chunk, 2, len(ids), planes(np.array(ids + keys, np.int64).view(np.uint64), 8), sizes.astype("<i8").tobytes(), None)]
         if many.any():
-            rows.append((chunk % buckets, chunk, 1, np.sort(place[many]).astype("<u4").tobytes(), None, None))
+            rows.append((chunk % buckets, chunk, 1, int(many.sum()), np.sort(place[many]).astype("<u4").tobytes(), None, None))
         if starts.size:
             key, at = hb[starts], place[starts]
-            bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            # the hash as a share of all buckets: whole part and fraction, both in the hashes' order
+            n = np.uint64(buckets)
+            bucket = ((key >> SHIFT) * n + ((key & MASK) * n >> SHIFT) >> SHIFT).astype(np.int64)
+            key = key * n >> np.uint64(64 - KEY_BITS)
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
             for a, b in zip(cuts, cuts[1:]):
-                rows.append((int(bucket[a]), chunk, 0, planes(key[a:b], 6), planes(at[a:b], 4), np.packbits(any_fixed[a:b]).tobytes()))
+                rows.append((int(bucket[a]), chunk, 0, int(b - a), sorted_bytes(key[a:b]), place_bytes(at[a:b]), np.packbits(any_fixed[a:b]).tobytes()))
         columns = list(zip(*rows))
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names)
 
     def run(batches):
@@ -118,7 +156,7 @@ def blocks(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                     ids, keys, sizes, hashes, held = [], [], [], [], 0
         if ids:
             yield pack(ids, keys, sizes, hashes, chunk)
-    return docs.mapInArrow(tidied(run), "bucket int, chunk long, kind int, data binary, more binary, fixed binary")
+    return docs.mapInArrow(tidied(run), "bucket int, chunk long, kind int, size int, data binary, more binary, fixed binary")
 
 
 def match(packed: DataFrame) -> DataFrame:
@@ -128,8 +166,8 @@ def match(packed: DataFrame) -> DataFrame:
         mine = [k for k, kind in enumerate(rows["kind"]) if kind == 0]
         out = [(rows["chunk"][k], rows["kind"][k], rows["data"][k], rows["more"][k]) for k, kind in enumerate(rows["kind"]) if kind]
         if len(mine) > 1:
-            key = [numbers(rows["data"][k], 6) for k in mine]
-            place = np.concatenate([numbers(rows["more"][k], 4) for k in mine]).astype("<u4")
+            key = [sorted_numbers(rows["data"][k], rows["size"][k]) for k in mine]
+            place = np.concatenate([place_numbers(rows["more"][k], rows["size"][k]) for k in mine])
             fixed = np.concatenate([np.unpackbits(np.frombuffer(rows["fixed"][k], np.uint8), count=x.size).astype(bool) for k, x in zip(mine, key)])
             source = np.repeat(np.arange(len(mine)), [x.size for x in key])
             key = np.concatenate(key)

@@ -86,3 +86,13 @@ def test_op10_trains_on_every_token():
     start = model.of(model.flat())
     assert model.train(docs, 0.1, {}) == 515
     assert (model.p["x"][[3, 4]] != start.p["x"][[3, 4]]).any(axis=1).all()
+
+
+@pytest.mark.parametrize("size", [0, 1, 7, 511, 512, 5000])
+def test_op3_blocks_are_read_as_they_were_packed(size):
+    rng = np.random.default_rng(size)
+    keys = np.sort(np.concatenate([rng.integers(0, 1 << substring.KEY_BITS, size), [0, (1 << substring.KEY_BITS) - 1] * (size > 0)]).astype(np.uint64))
+    assert (substring.sorted_numbers(substring.sorted_bytes(keys), keys.size) == keys).all()
+    for most in (1 << 20, 1 << 26):
+        places = rng.integers(0, most, size)
+        assert (substring.place_numbers(substring.place_bytes(places), size) == places).all()
