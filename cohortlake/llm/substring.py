@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from cohortlake.functions.skew import lookup
 from cohortlake.llm.common import release, slices, tidied, texts, whole_rows, words_of, written
 from cohortlake.llm.shingles import rolling, word_hashes
 
@@ -270,8 +271,8 @@ def places_to_go(found: DataFrame, window: int) -> DataFrame:
 # -- the operator ----------------------------------------------------------------------------------------------------
 
 def place_of(text: str) -> list[Column]:
-    """The id that orders documents, and what tells rows of one id, or without one, from each other."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("key")]
+    """The id that orders documents, and what tells rows of one id, or without one, from each other (never 0)."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).bitwiseOR(F.lit(1)).alias("key")]
 
 
 def repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -279,13 +280,18 @@ def repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFr
     spark = docs.sparkSession
     rows = docs.select(*place_of(text), F.col(text).alias("text"))
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    matched = written(match(blocks(rows, window, buckets)), "anchors")
-    release(spark)
     # of rows equal in id and text, each has hits in all its repeated windows, so those of one do
-    hits = hits_by_document(matched).dropDuplicates(["doc_id", "key"])
-    found = rows.join(hits, ["doc_id", "key"])
+    hits = written(hits_by_document(match(blocks(rows, window, buckets))).dropDuplicates(["doc_id", "key"]), "anchors")
+    release(spark)
+    # windows of an id that only one text has move without their text's key
+    shared = hits.where(F.col("doc_id") != LAST).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    hits = lookup(hits, shared, ["doc_id"], ["key"]).withColumn("alone", F.col("n").isNull() & (F.col("doc_id") != LAST)).drop("n")
+    found = rows.join(hits, ["doc_id", "key"]).withColumn("key", F.when(F.col("alone"), F.lit(0)).otherwise(F.col("key"))).drop("alone")
     gone = places_to_go(found, window)
     gone = gone.groupBy("doc_id", "key").agg(F.collect_list("at").alias("at"), F.collect_list("gone").alias("gone"))
+    keys = hits.where("alone").select("doc_id", F.col("key").alias("own"))
+    alone = gone.where("key = 0").join(keys, "doc_id").select("doc_id", F.col("own").alias("key"), "at", "gone")
+    gone = gone.where("key != 0").unionByName(alone)
     out = written(gone, "repeats")
     release(spark)
     return out
