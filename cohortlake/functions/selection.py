@@ -1,21 +1,21 @@
 """Exact order statistics, medians and running totals that never gather a whole column in one task.
 
-A sketch finds a narrow bracket that is certain to hold the wanted rank; the rows inside the
-bracket are then counted value by value. Both passes combine on the map side, so a value or a
-group that holds a third of all rows costs no more than any other.
+Equal values are counted before any shuffle. The counted values are sorted over ranges, which Spark cuts by a sample, and
+stored with the number of their range: the cuts decide on balance alone. Totals per group and range are the only small state;
+they tell which range holds a wanted rank, or what lies below a range, and only within a range are values put in order. So
+a value or a group that holds a third of all rows costs no more than any other, and any number of distinct values will do.
 """
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlake import settings as S
+from cohortlake.functions.skew import lookup
 from cohortlake.session import written
 
-SKETCH = 100_000            # the sketch's rank error is at most rows / SKETCH
-SLACK = 3 / SKETCH
-CELL = 2 ** 16
-
 
 def attach(df: DataFrame, stats: DataFrame, by=(), columns=None) -> DataFrame:
     """Add the columns of a per-group (or one-row) frame to every row."""
@@ -28,65 +28,85 @@ def attach(df: DataFrame, stats: DataFrame, by=(), columns=None) -> DataFrame:
             .select(*df.columns, *[F.col("_s").getField(c).alias(c) for c in columns]))
 
 
-def pick_ranks(df: DataFrame, value: str, share: float,
-               ranks: Callable[[Column], dict[str, Column]], by=()) -> DataFrame:
+def counted(df: DataFrame, value: str, by=(), weight: str | None = None) -> DataFrame:
+    """``by``, _v, _c: how often every value that isn't null occurs; ``weight`` names a column of counts."""
+    many = F.sum(weight) if weight else F.count(F.lit(1))
+    return df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(many.alias("_c"))
+
+
+def ranged(df: DataFrame, order: str, sums: list[str], by=()) -> tuple[DataFrame, DataFrame]:
+    """The rows, unique on ``by`` and ``order``, with their range of that order; and per group and range the sums in it,
+    those before it (_before_<c>) and those of the whole group (_all_<c>)."""
+    placed = df.repartitionByRange(*by, order).withColumn("_range", F.spark_partition_id())
+    placed = written(placed, "ranges")
+    group = Window.partitionBy(*by)
+    lower = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(*by, "_range").agg(*[F.sum(c).alias(c) for c in sums])
+    return placed, sizes.withColumns({f"_before_{c}": F.coalesce(F.sum(c).over(lower), F.lit(0)) for c in sums}
+                                     | {f"_all_{c}": F.sum(c).over(group) for c in sums})
+
+
+def picked(placed: DataFrame, sizes: DataFrame, ranks: Callable[[Column], dict[str, Column]], by=()) -> DataFrame:
+    """The values at the wanted ranks; of the stored rows only ranges that hold one are read into a window."""
+    by = list(by)
+    before, n = F.col("_before__c"), F.col("_all__c")
+    wanted = ranks(n)
+    held = reduce(or_, [(rank > before) & (rank <= before + F.col("_c")) for rank in wanted.values()])
+    near = placed.join(sizes.where(held).select(*by, "_range", before, n), [*by, "_range"])
+    upto = before + F.sum("_c").over(Window.partitionBy(*by, "_range").orderBy("_v"))
+    near = near.withColumn("_upto", upto)
+    picks = [F.max(F.when((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank), F.col("_v"))).alias(name)
+             for name, rank in wanted.items()]
+    return near.groupBy(*by).agg(F.max(n).alias("n"), *picks)
+
+
+def pick_ranks(df: DataFrame, value: str, ranks: Callable[[Column], dict[str, Column]], by=(), weight: str | None = None) -> DataFrame:
     """Values at given ascending ranks (1 = smallest) of a column, per group.
 
-    ``ranks`` maps the row count to the wanted ranks, all within one rank of share * count.
-    Null values are ignored. The result has one row per group: ``by``, ``n`` and the picks.
+    ``ranks`` maps the row count to the wanted ranks. Null values are ignored. The result has one row per group: ``by``,
+    ``n`` and the picks; a rank outside of 1 to n gives null.
     """
-    by = list(by)
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    near = [max(share - SLACK, 0.0), min(share + SLACK, 1.0)]
-    stats = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", near, SKETCH).alias("_q"))
-    small = F.col("_n") <= SKETCH
-    stats = stats.select(
-        *by, "_n", F.when(small, F.col("_min")).otherwise(F.col("_q")[0]).alias("_lo"),
-        F.when(small, F.col("_max")).otherwise(F.col("_q")[1]).alias("_hi"))
-    counts = (attach(rows, stats, by).where("_v <= _hi")
-              .groupBy(*by, "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_c")))
-    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy(F.col("_v").asc_nulls_first()))
-    counts = counts.withColumn("_upto", upto)
-    picks = []
-    for name, rank in ranks(F.col("_n")).items():
-        hit = (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank)
-        picks.append(F.max(F.when(hit, F.col("_v"))).alias(name))
-    return counts.groupBy(*by).agg(F.max("_n").alias("n"), *picks)
-
-
-def exact_median(df: DataFrame, value: str, by=(), name: str = "median") -> DataFrame:
+    return picked(*ranged(counted(df, value, by, weight), "_v", ["_c"], by), ranks, by)
+
+
+def middle(n: Column) -> dict[str, Column]:
+    return {"_a": F.floor((n + 1) / 2), "_b": F.floor((n + 2) / 2)}
+
+
+def mean_of_middle(ranks: DataFrame, by, name: str) -> DataFrame:
+    return ranks.select(*by, ((F.col("_a") + F.col("_b")) / 2).cast("double").alias(name))
+
+
+def exact_median(df: DataFrame, value: str, by=(), name: str = "median", weight: str | None = None) -> DataFrame:
     """Exact median of a column with any number of distinct values."""
-    both = pick_ranks(df, value, 0.5, lambda n: {
-        "_a": F.floor((n + 1) / 2), "_b": F.floor((n + 2) / 2)}, by)
-    return both.select(*by, ((F.col("_a") + F.col("_b")) / 2).cast("double").alias(name))
+    return mean_of_middle(pick_ranks(df, value, middle, by, weight), by, name)
 
 
-def counted_median(df: DataFrame, value: str, by=(), name: str = "median") -> DataFrame:
-    """Exact median of a column with few distinct values (scores, counts): equal values are counted
-    before the shuffle, so a group's size does not matter, only its number of distinct values."""
-    counts = (df.where(F.col(value).isNotNull())
-              .groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
-    return counts.groupBy(*by).agg(F.percentile("_v", 0.5, F.col("_c")).alias(name))
+def spread(df: DataFrame, value: str, by=()) -> tuple[DataFrame, DataFrame]:
+    """The counted values (_v, _c) with their group's median and median absolute deviation; and these two per group."""
+    by = list(by)
+    placed, sizes = ranged(counted(df, value, by), "_v", ["_c"], by)
+    mid = written(mean_of_middle(picked(placed, sizes, middle, by), by, "median"), "medians")
+
+    def with_group(values, stats):
+        return lookup(values, stats, by, ["_v"], "inner") if by else attach(values, stats)
 
+    values = with_group(placed.drop("_range"), mid)
+    mad = exact_median(values.withColumn("_gap", F.abs(F.col("_v") - F.col("median"))), "_gap", by, "mad", "_c")
+    both = attach(mid, mad, by)
+    return with_group(placed.drop("_range"), both), both
 
-def median_and_mad(df: DataFrame, value: str, by=(), wide: bool = False) -> DataFrame:
+
+def median_and_mad(df: DataFrame, value: str, by=()) -> DataFrame:
     """``by``, median and median absolute deviation."""
-    by = list(by)
-    median = exact_median if wide else counted_median
-    mid = median(df, value, by)
-    gaps = attach(df.select(*by, value), mid, by).withColumn("_gap", F.abs(F.col(value) - F.col("median")))
-    mad = median(gaps, "_gap", by, "mad")
-    return attach(mid, mad, by)
+    return spread(df, value, by)[1]
 
 
-def robust_z(df: DataFrame, value: str, by=(), out: str = "Z", wide: bool = False) -> DataFrame:
-    """(x - median) / (1.4826 MAD); 0 when the MAD is 0."""
-    spread = median_and_mad(df, value, by, wide)
+def robust_z(df: DataFrame, value: str, by=(), out: str = "Z", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(x - median) / (1.4826 MAD); 0 when the MAD is 0. ``keep``: median or mad, if wanted as well."""
     z = F.when(F.col("mad") > 0, (F.col(value) - F.col("median")) / (S.MAD_SCALE * F.col("mad"))).otherwise(0.0)
-    return attach(df, spread, by).withColumn(out, z).drop("median", "mad")
+    scored = attach(df, median_and_mad(df, value, by), by).withColumn(out, z)
+    return scored.drop(*[c for c in ("median", "mad") if c not in keep])
 
 
 def top_share(df: DataFrame, value: str, key: str, share: float, out: str) -> DataFrame:
@@ -97,7 +117,7 @@ def top_share(df: DataFrame, value: str, key: str, share: float, out: str) -> Da
     """
     slim = written(df.select(value, key), "top-share")
     # the k-th largest is the (n - k + 1)-th smallest
-    found = pick_ranks(slim, value, 1 - share, lambda n: {
+    found = pick_ranks(slim, value, lambda n: {
         "cut": n - F.bround(n * share).cast("long") + 1}).withColumn("k", F.bround(F.col("n") * share).cast("long")).first()
     if found is None or not found["k"]:
         return df.withColumn(out, F.lit(False))
@@ -108,34 +128,19 @@ def top_share(df: DataFrame, value: str, key: str, share: float, out: str) -> Da
     if rest == sizes["ties"]:
         inside = F.col(value) >= cut
     elif rest > 0:
-        last = pick_ranks(slim.where(F.col(value) == cut), key, rest / sizes["ties"],
-                          lambda n: {"last": F.lit(rest)}).first()["last"]
+        last = pick_ranks(slim.where(F.col(value) == cut), key, lambda n: {"last": F.lit(rest)}).first()["last"]
         inside = inside | ((F.col(value) == cut) & (F.col(key) <= F.lit(last)))
     return df.withColumn(out, F.coalesce(inside, F.lit(False)))
 
 
 def totals_below(df: DataFrame, score: str, sums: list[str], by=()) -> DataFrame:
-    """Add below_<c>: the total of c over all rows of the group with a smaller score.
-
-    Scores are in [0, 1] and unique per group. Totals run over coarse cells, then over fine
-    cells of one coarse cell, then over the scores of one fine cell, so no window partition
-    grows with the data.
-    """
+    """Add below_<c>: the total of c over all rows of the group with a smaller score. Scores are unique per group."""
     by = list(by)
-    cells = df.withColumns({"_c1": F.floor(F.col(score) * CELL), "_c2": F.floor(F.col(score) * CELL * CELL)})
-
-    def running(frame, keys, order):
-        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return {f"_b_{order}_{c}": F.coalesce(F.sum(c).over(w), F.lit(0)) for c in sums}
-
-    fine = cells.groupBy(*by, "_c1", "_c2").agg(*[F.sum(c).alias(c) for c in sums])
-    coarse = fine.groupBy(*by, "_c1").agg(*[F.sum(c).alias(c) for c in sums])
-    coarse = coarse.withColumns(running(coarse, by, "_c1")).drop(*sums)
-    fine = fine.withColumns(running(fine, by + ["_c1"], "_c2")).drop(*sums).join(coarse, by + ["_c1"])
-    inner = cells.withColumns(running(cells, by + ["_c1", "_c2"], score))
-    out = inner.join(fine, by + ["_c1", "_c2"])
-    below = {f"below_{c}": F.col(f"_b__c1_{c}") + F.col(f"_b__c2_{c}") + F.col(f"_b_{score}_{c}") for c in sums}
-    return out.select(*df.columns, *[e.alias(n) for n, e in below.items()])
+    placed, sizes = ranged(df, score, sums, by)
+    lower = Window.partitionBy(*by, "_range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.join(sizes.select(*by, "_range", *[f"_before_{c}" for c in sums]), [*by, "_range"])
+    below = [(F.col(f"_before_{c}") + F.coalesce(F.sum(c).over(lower), F.lit(0))).alias(f"below_{c}") for c in sums]
+    return out.select(*df.columns, *below)
 
 
 def ordered_top(df: DataFrame, k: int, *order) -> DataFrame:

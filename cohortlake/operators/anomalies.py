@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlake import settings as S
-from cohortlake.functions.selection import attach, counted_median, robust_z
+from cohortlake.functions.selection import robust_z
 
 METRICS = ["AttendanceRate", "AvgGPA", "FailureRate", "CollectionRate"]
 COLUMNS = ["Kind", "Metric", "EntityKey", "Entity", "SemesterKey", "Before", "After", "Change", "Z", "Hint"]
@@ -81,7 +81,7 @@ def course_anomalies(courses: DataFrame, limits: S.Thresholds = S.DEFAULTS) -> D
 
 def teacher_load_anomalies(teachers: DataFrame, semester, limits: S.Thresholds = S.DEFAULTS) -> DataFrame:
     """Teachers with far more students than their colleagues; Change is the multiple of the median."""
-    scored = attach(robust_z(teachers, "Students"), counted_median(teachers, "Students"))
+    scored = robust_z(teachers, "Students", keep=("median",))
     hits = scored.where(F.col("Z") >= limits.anomaly_z)
     return hits.select(F.lit("teacher").alias("Kind"), F.lit("Students").alias("Metric"),
                        F.col("TeacherKey").cast("long").alias("EntityKey"), F.col("TeacherName").alias("Entity"),

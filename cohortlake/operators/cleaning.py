@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlake import settings as S
 from cohortlake.functions.measures import flag
-from cohortlake.functions.selection import attach, counted_median, median_and_mad, top_per_group
+from cohortlake.functions.selection import exact_median, spread, top_per_group
 from cohortlake.functions.skew import last_per_key, lookup
 from cohortlake.functions import text as X
 
@@ -112,7 +112,7 @@ def impute_group_median(df: DataFrame, spec: TableSpec) -> DataFrame:
     df = df.withColumn("_imputed", F.lit(0))
     for c, by in spec.impute.items():
         mark = f"Is{c.replace('Score', '')}Imputed"
-        medians = counted_median(df, c, ["_file", by], "_median")
+        medians = exact_median(df, c, ["_file", by], "_median")
         df = lookup(df, medians, ["_file", by], [spec.pk, "_raw"]).withColumn(
             mark, F.col(c).isNull() & F.col("Reason").isNull())
         df = df.withColumns({c: F.when(F.col(mark), F.bround("_median", 0)).otherwise(F.col(c)),
@@ -127,16 +127,16 @@ def require(df: DataFrame, spec: TableSpec) -> DataFrame:
 
 
 def flag_outliers(df: DataFrame, spec: TableSpec, k: float = S.OUTLIER_K) -> DataFrame:
-    """Per file the number of values far from the median, among rows not rejected so far."""
-    parts = []
-    for c in spec.outliers:
-        rows = df.where(F.col("Reason").isNull() & F.col(c).isNotNull()).select("_file", F.col(c).cast("double").alias("_x"))
-        spread = attach(rows, median_and_mad(rows, "_x", ["_file"], wide=True), ["_file"])
-        far = F.abs(F.col("_x") - F.col("median")) / (S.MAD_SCALE * F.col("mad")) > k
-        parts.append(spread.where(F.col("mad") > 0).where(far).groupBy("_file").agg(
-            F.count(F.lit(1)).alias("IssueCount")).select(F.col("_file").alias("FileName"), F.lit(f"outlier_{c}").alias("CheckName"),
-                                                         F.lit("FLAGGED").alias("Action"), "IssueCount"))
-    return reduce(DataFrame.unionByName, parts) if parts else None
+    """Per file the number of values far from the median, among rows not rejected so far. All columns go together."""
+    if not spec.outliers:
+        return None
+    each = [F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_x")) for c in spec.outliers]
+    listed = df.where(F.col("Reason").isNull()).select("_file", F.inline(F.array(*each)))
+    values, _ = spread(listed, "_x", ["_file", "_column"])
+    far = F.abs(F.col("_v") - F.col("median")) / (S.MAD_SCALE * F.col("mad")) > k
+    found = values.where(F.col("mad") > 0).where(far).groupBy("_file", "_column").agg(F.sum("_c").alias("IssueCount"))
+    return found.select(F.col("_file").alias("FileName"), F.concat(F.lit("outlier_"), "_column").alias("CheckName"),
+                        F.lit("FLAGGED").alias("Action"), "IssueCount")
 
 
 def check_ranges(df: DataFrame, spec: TableSpec) -> DataFrame:

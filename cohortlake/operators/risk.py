@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlake import settings as S
 from cohortlake.functions.measures import clip, flag, ratio, risk_level
+from cohortlake.functions.selection import exact_median
 
 Scorer = Callable[[DataFrame], DataFrame]
 RAW = ["_risk", "_gpa", "_fail", "_dropout"]
@@ -65,12 +66,10 @@ def temporal_split(rows: DataFrame) -> DataFrame:
 
 
 def baseline_profile(rows: DataFrame) -> DataFrame:
-    """Median of every feature over the rows that were not at risk.
-
-    Features are stored with one, two or four decimals, so a median's buffer (distinct values with
-    counts, merged from all tasks) stays small however many rows there are.
-    """
-    return rows.where(F.col("Target") == 0).agg(*[F.median(c).alias(c) for c in S.FEATURES])
+    """Median of every feature over the rows that were not at risk. All features go together."""
+    each = [F.struct(F.lit(c).alias("_feature"), F.col(c).cast("double").alias("_x")) for c in S.FEATURES]
+    medians = exact_median(rows.where(F.col("Target") == 0).select(F.inline(F.array(*each))), "_x", ["_feature"])
+    return medians.agg(*[F.max(F.when(F.col("_feature") == c, F.col("median"))).alias(c) for c in S.FEATURES])
 
 
 def predict(rows: DataFrame, scorer: Scorer) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlake import settings as S
 from cohortlake.functions.measures import count_where, is_high_risk, mean, ratio, same_season
-from cohortlake.functions.selection import attach, counted_median, ordered_top, top_per_group
+from cohortlake.functions.selection import attach, exact_median, ordered_top, top_per_group
 from cohortlake.functions.text import contains
 
 PROFILE_SHOWN = ["SemesterLabel", "SemGPA", "CumGPA", "AttendanceRate", "FailedCourses", "SubmissionRate",
@@ -82,7 +82,7 @@ def teacher_load_stats(teachers: DataFrame) -> DataFrame:
     """Teachers, median load, overloaded, and the correlation of load and GPA."""
     stats = teachers.agg(F.count(F.lit(1)).alias("Teachers"), count_where(F.col("Overloaded")).alias("Overloaded"),
                          F.corr("Students", "AvgGPA").alias("LoadGPACorrelation"))
-    return attach(stats, counted_median(teachers, "Students", name="MedianLoad"))
+    return attach(stats, exact_median(teachers, "Students", name="MedianLoad"))
 
 
 def model_trust(comparison: DataFrame) -> DataFrame:

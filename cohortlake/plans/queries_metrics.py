@@ -321,7 +321,7 @@ SELECT StudentKey, SemesterKey, round(coalesce((TotalDebt - m) / (1.4826::DOUBLE
     extra={"d": "SELECT StudentKey, SemesterKey, sum(RemainingDebt)::DOUBLE AS TotalDebt FROM payments GROUP BY 1, 2"}))
 def _(u):
     debt = u.payments.groupBy("StudentKey", "SemesterKey").agg(F.sum("RemainingDebt").cast("double").alias("TotalDebt"))
-    return rounded(robust_z(debt, "TotalDebt", wide=True).select("StudentKey", "SemesterKey", "Z"))
+    return rounded(robust_z(debt, "TotalDebt").select("StudentKey", "SemesterKey", "Z"))
 
 
 DELTAS = """SELECT * FROM (SELECT FacultyKey, FacultyName, SemesterKey, Metric, After, lag(After) OVER (PARTITION BY FacultyKey, Metric ORDER BY SemesterKey) AS Before,

@@ -315,7 +315,7 @@ def _(u):
 
 @register("order_statistic", query("SELECT n, (SELECT o_totalprice FROM (SELECT o_totalprice, row_number() OVER (ORDER BY o_totalprice) AS r FROM orders) WHERE r = n - n // 10) AS cut FROM (SELECT count(*) AS n FROM orders)"))
 def _(u):
-    return pick_ranks(u.table("orders"), "o_totalprice", 0.9, lambda n: {"cut": n - F.floor(n / 10)})
+    return pick_ranks(u.table("orders"), "o_totalprice", lambda n: {"cut": n - F.floor(n / 10)})
 
 
 # --------------------------------------------------------------------- sources
