@@ -6,7 +6,7 @@ foreign-key joins. Rows are never dropped on the way: rejected ones carry their
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -17,6 +17,8 @@ from cohortlake.functions.selection import exact_median, spread, top_per_group
 from cohortlake.functions.skew import last_per_key, lookup
 from cohortlake.functions import text as X
 
+#: Orphan keys that are broadcast; of these numbers, a megabyte or two.
+FEW = 100_000
 COUNTERS = {"_trims": "whitespace_trimmed", "_dups": "duplicate", "_recased": "format_standardised",
             "_retyped": "type_corrected", "_filled": "missing_filled", "_imputed": "missing_imputed"}
 
@@ -147,13 +149,23 @@ def check_ranges(df: DataFrame, spec: TableSpec) -> DataFrame:
     return df.withColumn("Reason", first_reason(rules, F.col("Reason")))
 
 
-def check_foreign_keys(df: DataFrame, spec: TableSpec, parents: Mapping[str, DataFrame]) -> DataFrame:
-    """The value must exist among the parent's keys (a one-column frame); missing values pass."""
+def check_foreign_keys(df: DataFrame, spec: TableSpec, parents: Mapping[str, DataFrame], keep=None) -> DataFrame:
+    """The value must exist among the parent's keys (a one-column frame); missing values pass.
+
+    Orphans are found among the distinct values, so rows meet these alone and not the parent's keys. With ``keep`` they are
+    stored and counted, and up to FEW are broadcast, so that no row is shuffled; more of them, or uncounted ones, are joined
+    in a way that spreads every key over many tasks.
+    """
     for c, parent in spec.foreign.items():
         keys = parents[parent]
-        keys = keys.select(F.col(keys.columns[0]).cast("double").alias(c)).distinct().withColumn("_known", F.lit(True))
-        df = df.join(keys, c, "left").withColumn("Reason", first_reason(
-            [(F.col(c).isNotNull() & F.col("_known").isNull(), "orphan_key")], F.col("Reason"))).drop("_known")
+        keys = keys.select(F.col(keys.columns[0]).cast("double").alias(c))
+        orphans = df.where(F.col(c).isNotNull()).select(c).distinct().join(keys, c, "left_anti").withColumn("_orphan", F.lit(True))
+        orphans = keep(orphans, "orphans") if keep else orphans
+        if keep and orphans.limit(FEW + 1).count() <= FEW:
+            df = df.join(F.broadcast(orphans), c, "left")
+        else:
+            df = lookup(df, orphans, [c], [spec.pk, "_raw"])
+        df = df.withColumn("Reason", first_reason([(F.col("_orphan"), "orphan_key")], F.col("Reason"))).drop("_orphan")
     return df
 
 
@@ -168,11 +180,16 @@ def derive_payment(df: DataFrame) -> DataFrame:
 
 @dataclass
 class Cleaned:
-    """All rows of a delivery with their reasons, and what the outlier check saw."""
+    """All rows of a delivery with their reasons, and the rows that the outlier check looks at."""
 
     rows: DataFrame
     spec: TableSpec
-    outliers: DataFrame | None
+    checked: DataFrame
+
+    @cached_property
+    def outliers(self) -> DataFrame | None:
+        """C10, worked out when a log asks for it."""
+        return flag_outliers(self.checked, self.spec)
 
     def good(self) -> DataFrame:
         """Accepted rows, whole numbers as integers."""
@@ -198,11 +215,11 @@ def clean(df: DataFrame, spec: TableSpec, parents: Mapping[str, DataFrame] | Non
     rows = keep(rows, spec.name) if keep and spec.impute else rows
     rows = require(impute_group_median(rows, spec), spec)
     rows = keep(rows, spec.name) if keep and spec.outliers else rows
-    outliers = flag_outliers(rows, spec)
-    rows = check_foreign_keys(check_ranges(rows, spec), spec, parents or {})
+    checked = rows
+    rows = check_foreign_keys(check_ranges(rows, spec), spec, parents or {}, keep)
     if spec.payment_rules:
         rows = derive_payment(rows)
-    return Cleaned(rows, spec, outliers)
+    return Cleaned(rows, spec, checked)
 
 
 def merge_parts(good: DataFrame, pk: str) -> DataFrame:
