@@ -28,6 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from cohortlake.llm.common import remainder, slices, texts
 
@@ -197,7 +198,9 @@ def find(docs: DataFrame, text: str = "text", exponent: int = 4, least: int = 6,
                 runs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c) for c in rows.T], fields=list(RUN_TYPE.value_type)))
                 short = pa.array([collapsed(w, r) for w, r in zip(words, found)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(np.diff(sizes)), runs, short.cast(pa.string())], ["row", "n_words", "runs", "collapsed"])
-    out = given.mapInArrow(run, f"row {given.schema['row'].dataType.simpleString()}, n_words bigint, runs {RUNS}, collapsed string")
+    # a type and not its text: names of kept columns may need quotes
+    own = StructType.fromDDL(f"n_words bigint, runs {RUNS}, collapsed string")
+    out = given.mapInArrow(run, StructType([given.schema["row"], *own.fields]))
     return out.select(*[F.col("row").getField(c).alias(c) for c in keep], "n_words", "runs", "collapsed")
 
 
