@@ -7,7 +7,8 @@ smoothed share of the others' counts, so that every text has a probability:
     log p(word | before) = log p(class | state) + log p(token | class, state) [+ log((c + 1) / (others + distinct others + 1))]
 
 Training: in each of ``ROUNDS`` rounds every task goes once over those of its training documents whose turn it is, from
-the same parameters, by truncated backpropagation; parameters are averaged by tokens, in a tree. All rounds together
+the same parameters, by truncated backpropagation; parameters are averaged by tokens, in a tree. Small partitions go
+to one task together, so that the parameters sent follow the tokens and not the number of files. All rounds together
 cover every training document once. Scoring carries the state over a document from its first to its last token.
 
 Counts of the ``FREQUENT`` most frequent words (a fixed bound) go to every task. A task sends on the other words of
@@ -42,6 +43,8 @@ AT_ONCE = 4 << 20
 TOGETHER = 1 << 22
 #: Parameters in a row, and rows that are averaged by one call.
 PART, FAN_IN = 1 << 14, 64
+#: Tokens of a round that a task trains on at least: each task sends all parameters, which are about as many numbers.
+TOKENS_PER_TASK = 1 << 19
 
 
 def folded(docs: DataFrame, text: str) -> DataFrame:
@@ -124,6 +127,11 @@ def averaged(parts: DataFrame) -> np.ndarray | None:
     return np.frombuffer(b"".join(rows.column("data").to_pylist()), np.float32) if rows.num_rows else None
 
 
+def training_tasks(words: Vocabulary) -> int:
+    """The most tasks of a round. An input in many small files would send many times as many parameters as it has tokens."""
+    return words.tokens // (ROUNDS * TOKENS_PER_TASK) + 1
+
+
 def train(rows: DataFrame, words: Vocabulary) -> Gru:
     """The model, from all training rows."""
     spark = rows.sparkSession
@@ -145,7 +153,7 @@ def train(rows: DataFrame, words: Vocabulary) -> Gru:
                 flat, source = own.flat(), TaskContext.get().partitionId()
                 for p in range(0, flat.size, PART):
                     yield pa.RecordBatch.from_arrays([pa.array([source], pa.int64()), pa.array([p // PART], pa.int32()), pa.array([float(seen)]), pa.array([flat[p:p + PART].tobytes()], pa.binary())], ["source", "part", "weight", "data"])
-        turn = rows.where("not held_out").where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k).select("text")
+        turn = rows.where("not held_out").where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k).select("text").coalesce(training_tasks(words))
         flat = averaged(turn.mapInArrow(run, "source long, part int, weight double, data binary"))
         model = model if flat is None else model.of(flat)
     return model
